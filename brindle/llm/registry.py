@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from brindle.llm import line_dedup
+from brindle.llm.line_dedup import op10_line_dedup
+from brindle.llm.packing import op1_packing
+from brindle.llm.sharding import op6_sharding
 from brindle.llm.token_counts import op7_token_counts
 
-_QUERIES = [op7_token_counts]
-_ORACLES: dict[str, str] = {}
+_QUERIES = [op1_packing, op6_sharding, op7_token_counts, op10_line_dedup]
+_ORACLES: dict[str, str] = {"op10_line_dedup": line_dedup.ORACLE}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
