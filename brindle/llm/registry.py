@@ -6,14 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import line_dedup
+from brindle.llm import line_dedup, quality, url_filters
 from brindle.llm.line_dedup import op10_line_dedup
 from brindle.llm.packing import op1_packing
+from brindle.llm.quality import op8_quality_rules
 from brindle.llm.sharding import op6_sharding
 from brindle.llm.token_counts import op7_token_counts
-
-_QUERIES = [op1_packing, op6_sharding, op7_token_counts, op10_line_dedup]
-_ORACLES: dict[str, str] = {"op10_line_dedup": line_dedup.ORACLE}
+from brindle.llm.url_filters import op5_url_filters
+
+_QUERIES = [op1_packing, op5_url_filters, op6_sharding, op7_token_counts, op8_quality_rules, op10_line_dedup]
+_ORACLES: dict[str, str] = {
+    "op5_url_filters": url_filters.ORACLE,
+    "op8_quality_rules": quality.ORACLE,
+    "op10_line_dedup": line_dedup.ORACLE,
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
