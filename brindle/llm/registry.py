@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from brindle.llm import decontaminate, line_dedup, quality, url_filters
 from brindle.llm.decontaminate import op3_decontaminate
 from brindle.llm.line_dedup import op10_line_dedup
+from brindle.llm.lm_scores import op4_lm_scores
 from brindle.llm.near_dedup import op9_near_dedup
 from brindle.llm.packing import op1_packing
 from brindle.llm.quality import op8_quality_rules
@@ -19,6 +20,7 @@ from brindle.llm.url_filters import op5_url_filters
 _QUERIES = [
     op1_packing,
     op3_decontaminate,
+    op4_lm_scores,
     op5_url_filters,
     op6_sharding,
     op7_token_counts,
