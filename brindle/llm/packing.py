@@ -39,6 +39,10 @@ class Limits:
     loss: int = 2048
 
 
+#: Trailing signs that are encoded apart from their word.
+SIGNS = b"#*$%&|<>.,;:!?"
+
+
 class WordIds:
     """Ids by a vocabulary that drops white space: every word is encoded once and kept, so a text costs a lookup a word.
 
@@ -55,18 +59,32 @@ class WordIds:
     def _learn(self, missing: set[bytes]) -> None:
         if len(self.known) > self.cache:
             self.old, self.known = self.known, {}
-        new = [w for w in missing if w not in self.old]
-        self.known.update((w, self.old[w]) for w in missing if w in self.old)
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)):
-            ids = e.ids
-            self.known[w] = struct.pack(f"<{len(ids)}I", *ids)
+        old, known, split, new = self.old, self.known, [], set()
+        for w in missing:
+            if w in old:
+                known[w] = old[w]
+                continue
+            stem = w.rstrip(SIGNS)
+            # A sign after an ASCII letter or digit begins a token of its own, so stem and signs are encoded apart.
+            if 0 < len(stem) < len(w) and stem[-1:].isalnum() and b"<|" not in w:
+                signs = w[len(stem) :]
+                split.append((w, stem, signs))
+                new.update(x for x in (stem, signs) if x not in known)
+            else:
+                new.add(w)
+        words = list(new)
+        for w, e in zip(words, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)):
+            known[w] = struct.pack(f"<{len(e)}I", *e.ids)
+        for w, stem, signs in split:
+            known[w] = known[stem] + known[signs]
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         get, out, words = self.known.get, [], []
         missing: set[bytes] = set()
         for x in texts:
-            w = x.split()
+            # The vocabulary is lower case; only its special strings are not to be made by lowering.
+            w = (x if b"<|" in x else x.lower()).split()
             ids = list(map(get, w))
             if None in ids:
                 missing.update(a for a, b in zip(w, ids) if b is None)
@@ -179,7 +197,7 @@ def pack(
     limits: Limits = Limits(),
     end_id: int | None = 1,
     cut: bool = True,
-    block: int = 2048,
+    block: int = 1024,
     with_ids: bool = False,
 ) -> DataFrame:
     """Pieces of docs (doc_id, text, and if it has it loss_from: the first loss-bearing token) and the sequence of each.
