@@ -14,11 +14,13 @@ from brindle.llm.near_dedup import op9_near_dedup
 from brindle.llm.packing import op1_packing
 from brindle.llm.quality import op8_quality_rules
 from brindle.llm.sharding import op6_sharding
+from brindle.llm.suffix_dedup import op2_suffix_dedup
 from brindle.llm.token_counts import op7_token_counts
 from brindle.llm.url_filters import op5_url_filters
 
 _QUERIES = [
     op1_packing,
+    op2_suffix_dedup,
     op3_decontaminate,
     op4_lm_scores,
     op5_url_filters,
