@@ -298,6 +298,10 @@ def _in_field(df: DataFrame, field: str | None) -> DataFrame:
     return df.where(F.col("field") == field) if field else df
 
 
+def _less(back: Column):
+    return lambda p: p - back
+
+
 def _phrase(index: Index, q: Phrase) -> DataFrame:
     """Consecutive positions; a stop word leaves its place open. Scored by the sum of all its terms' frequencies, as if one document had it."""
     terms = analyze(q.text)
@@ -308,7 +312,8 @@ def _phrase(index: Index, q: Phrase) -> DataFrame:
     per = rows.groupBy("field", "doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"), F.collect_list(F.struct("term", "tf")).alias("tfs"))
     starts = None
     for t, i in terms:
-        here = F.transform(F.coalesce(F.try_element_at("at", F.lit(t)), F.array().cast("array<int>")), lambda p, i=i: p - (i - first))
+        back = F.lit(i - first)
+        here = F.transform(F.coalesce(F.try_element_at("at", F.lit(t)), F.array().cast("array<int>")), _less(back))
         starts = here if starts is None else F.array_intersect(starts, here)
     tf_of = F.map_from_entries("tfs")
     total = sum((F.coalesce(F.try_element_at(tf_of, F.lit(t)), F.lit(0)) for t, _ in terms), F.lit(0))

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # ---- topics
 
@@ -263,13 +264,13 @@ def stream(spark, path: str, schema, files_per_trigger: int | None = None) -> Da
 
 def once_each(events: DataFrame, keys: list[str], time: str = "ts", delay: str = "10 minutes") -> DataFrame:
     """Each idempotency key once while the watermark remembers it."""
-    return events.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
 def windowed_counts(events: DataFrame, width: str, time: str = "ts", delay: str = "10 minutes", slide: str | None = None) -> DataFrame:
     """Extension: events a type and window; later ones than the delay are left out."""
     w = F.window(time, width, slide) if slide else F.window(time, width)
-    out = events.withWatermark(time, delay).groupBy(w.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    out = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay).groupBy(w.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "event_type", "n")
 
 
@@ -291,7 +292,7 @@ def allowed_by_bucket(events: DataFrame, key: str, rate: float, burst: float, ti
     A key's events are handled in order in one task, in Arrow batches that carry the bucket on; keys are spread by hash.
     """
     src = events.withColumn("_s", F.unix_micros(time) / 1e6).repartition(key).sortWithinPartitions(key, time, order)
-    kind = src.schema.add("allowed", "boolean")
+    kind = T.StructType([*src.schema.fields, T.StructField("allowed", T.BooleanType())])
 
     def run(frames):
         last, tokens, then = object(), burst, 0.0
