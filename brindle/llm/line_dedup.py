@@ -14,7 +14,8 @@ one row a task.
 Defined results: a null or empty text is one empty line; a line counts once in a document,
 however often it stands there; rows that share a doc_id are one document for counting, and each
 is rewritten by itself; null ids count as one document, smaller than all others; an empty table
-gives an empty one; other columns pass through.
+gives an empty one; other columns pass through, but for _row and _gone, which are dropped, and those that
+the operator gives, which are replaced.
 """
 
 from __future__ import annotations
@@ -93,6 +94,7 @@ def drop_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches:
     Adds n_lines (before) and n_dropped. batches: parts of the documents, cut by id, that are added one
     after the other; the result doesn't depend on it.
     """
+    docs = docs.drop("_row", "_gone")
     runs = LineRuns(docs.sparkSession, fanout)
     part = F.pmod(F.xxhash64("doc_id"), F.lit(batches))
     for i in range(batches):

@@ -85,6 +85,7 @@ def frequent_words(docs: DataFrame, host: str = "source", limit: int = 200) -> D
 
 def judge(docs: DataFrame, host: str = "source", limit: int = 200, min_words: int = 10) -> DataFrame:
     """docs with the base measures, n_frequent_words and kept."""
+    docs = docs.drop("_row", "n_frequent_words")
     frequent = frequent_words(docs, host, limit)
     out = base_measures(docs.withColumn("_row", row_key()), min_words=min_words)
     out = out.join(frequent, "_row", "left").drop("_row")

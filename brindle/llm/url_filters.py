@@ -5,7 +5,7 @@ is ``/en/*.html``). Level by level, each branch is compared with its siblings: b
 bad labels differs from that of the others by less than ``z`` standard errors are merged into one
 wildcard branch, so a literal segment stays only where it matters. What lies deeper than ``depth``
 segments is one wildcard. A template is rejected when its share of bad labels, smoothed towards its
-host's share (and that towards all hosts'), reaches ``threshold``.
+host's share (and that towards all hosts', which is a tenth where nothing is labelled), reaches ``threshold``.
 
 Pages are summed up by (host, digit-free path) in each task before anything is shuffled, so a host
 with a third of all pages is one row a path and task; each level works on those sums. Only the
@@ -83,7 +83,7 @@ def templates(labelled: DataFrame, depth: int = 4, z: float = 1.96, prior: float
     by_template = leaf.groupBy("host", "template").agg(*counts)
     by_host = by_template.groupBy("host").agg(F.sum("lab").alias("host_lab"), F.sum("bad").alias("host_bad"))
     everywhere = by_host.agg(F.coalesce(F.sum("host_lab"), F.lit(0)).alias("l"), F.coalesce(F.sum("host_bad"), F.lit(0)).alias("b"))
-    share = everywhere.select(((F.col("b") + 1.0) / (F.col("l") + 2.0)).alias("share"))
+    share = everywhere.select(((F.col("b") + 0.1) / (F.col("l") + 1.0)).alias("share"))
     host_share = (F.col("host_bad") + prior * F.col("share")) / (F.col("host_lab") + prior)
     judged = (
         by_template.join(by_host, "host")
@@ -149,7 +149,7 @@ leaf{k + 1} AS (SELECT host, sg, n, lab, bad, template || CASE WHEN seg = '' THE
         + f""",
 bt AS (SELECT host, template, sum(n) AS n, sum(lab) AS lab, sum(bad) AS bad FROM leaf{depth + 1} GROUP BY ALL),
 bh AS (SELECT host, sum(lab) AS hl, sum(bad) AS hb FROM bt GROUP BY host),
-ev AS (SELECT (coalesce(sum(hb), 0) + 1.0) / (coalesce(sum(hl), 0) + 2.0) AS share FROM bh),
+ev AS (SELECT (coalesce(sum(hb), 0) + 0.1) / (coalesce(sum(hl), 0) + 1.0) AS share FROM bh),
 j AS (SELECT host, template, n, lab, bad, (bad + {prior} * (hb + {prior} * share) / (hl + {prior})) / (lab + {prior}) >= {threshold} AS rejected
   FROM bt JOIN bh USING (host), ev),
 x AS (SELECT page_id, s.host, path, f.template, j.n, j.lab, j.bad, rejected FROM s JOIN leaf{depth + 1} f ON f.host = s.host AND f.sg = s.sg
