@@ -47,8 +47,6 @@ class Plan:
     #: Regions of a minimizer beyond which it is dealt on, and windows of a run then.
     hot: int = 2000
     run: int = 8
-    #: Rows of classes or covered texts up to which they are broadcast to the texts; beyond, texts are shuffled.
-    broadcast_rows: int = 500_000
 
 
 _VALUES = _stream(21, 256)
@@ -180,8 +178,7 @@ def _pieces(docs: DataFrame, classes: DataFrame, hot: bool, plan: Plan) -> DataF
 
     entry = F.struct("mini", "content", "times", "start", "count")
     want = materialize(classes.groupBy("_row").agg(F.collect_list(entry).alias("want")), "want")
-    few = (want.agg(F.sum(F.size("want"))).head()[0] or 0) <= plan.broadcast_rows
-    src = _texts(docs).join(F.broadcast(want) if few else want, "_row").select("text", "want")
+    src = _texts(docs).join(want, "_row").select("text", "want")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in PIECE.split(", ")]
@@ -295,9 +292,8 @@ def cut_repeats(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     import pyarrow as pa
 
     found = materialize(repeated_spans(docs, plan), "found")
-    few = (found.agg(F.sum(F.size("found"))).head()[0] or 0) <= plan.broadcast_rows
     src = docs.select("doc_id", row_key().alias("_row"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    src = src.join(F.broadcast(found) if few else found, "_row", "left").select("doc_id", "text", "found")
+    src = src.join(found, "_row", "left").select("doc_id", "text", "found")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

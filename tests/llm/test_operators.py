@@ -101,7 +101,7 @@ def test_packing_keeps_limits_without_cuts():
 # ---- 2
 
 
-@pytest.mark.parametrize("plan", [suffix_dedup.Plan(), suffix_dedup.Plan(hot=2, chunk=5000), suffix_dedup.Plan(hot=0, broadcast_rows=0)])
+@pytest.mark.parametrize("plan", [suffix_dedup.Plan(), suffix_dedup.Plan(hot=2, chunk=5000), suffix_dedup.Plan(hot=0)])
 def test_suffix_dedup(spark, awkward, plan):
     want = brute.cut_repeats(AWKWARD)
     got = {r.doc_id: r for r in suffix_dedup.cut_repeats(awkward, plan).collect()}
