@@ -10,10 +10,11 @@ below it) is verified on the full sets.
 
 Documents with equal sets are one class from the start, represented by their smallest id. Inside a
 band's bucket nothing is paired with everything: first each member is compared with one pivot, the
-smallest member that most of its bands agree on, then with the pivots of its other bands; only then,
-and only where a bucket still holds more than one component, are members of different components
-paired. So a group of n copies costs about n comparisons, and no link between different components
-is left out. With the defaults two documents at the threshold share no band with probability 1e-6.
+central member that most of its bands agree on. That comparison also bounds what a member can share
+with any third document, which closes most of those that aren't linked. Members still open are compared
+with the pivots of their other bands; only then, and only where a bucket still holds open members of
+more than one component, are those paired. So a group of n copies costs about n comparisons, and no
+link between different components is left out. With the defaults two documents at the threshold share no band with probability 1e-6.
 
 Defined results: a text without words has no shingles and no links; documents without an id
 aren't linked (component null, kept); rows with the same id are one node: its sets are linked
@@ -134,33 +135,76 @@ def payloads(docs: DataFrame, needed: DataFrame, how: Sketch) -> DataFrame:
     return src.mapInArrow(run, "id long, registers binary, payload binary")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, how: Sketch) -> DataFrame:
-    """The links among pairs (a, b): estimated first, verified on full sets. sets: id, registers, payload."""
+PAIR = "a long, b long, linked boolean, n long, common long, added array<long>"
+
+
+def compare(pairs: DataFrame, sets: DataFrame, how: Sketch, details: bool = False) -> DataFrame:
+    """PAIR rows of pairs (a, b); sets: id, registers, payload. Estimated first, verified on full sets where that leaves it open.
+
+    details: also n, the size of a's set, how much of it is common with b's, and the hashes that are not; else
+    these are null and only linked pairs come back.
+    """
     import pyarrow as pa
 
     side = lambda k: sets.select(F.col("id").alias(k), F.col("registers").alias(f"r{k}"), F.col("payload").alias(f"p{k}"))
     both = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").select("a", "b", "ra", "rb", "pa", "pb")
 
-    def linked(ra, rb, x, y) -> bool:
+    def possible(ra, rb, x, y) -> bool:
         small, large = sorted((len(x), len(y)))
         if 100 * small < how.percent * large:
             return False
-        if small >= 64 and estimate(ra, rb) < how.percent / 100 - how.margin:
-            return False
-        common = small + large - len(np.union1d(x, y))
-        return 100 * common >= how.percent * (small + large - common)
+        return small < 64 or estimate(ra, rb) >= how.percent / 100 - how.margin
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = [], []
+            rows = []
             for i, j, *four in zip(*(batch.column(k).to_pylist() if k < 2 else batch.column(k) for k in range(6))):
                 ra, rb, x, y = (np.frombuffer(z.as_buffer(), np.uint16 if k < 2 else np.uint64) for k, z in enumerate(four))
-                if linked(ra, rb, x, y):
-                    a.append(i)
-                    b.append(j)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                can = possible(ra, rb, x, y)
+                if not can and not details:
+                    continue
+                added = np.setdiff1d(x, y, assume_unique=True)
+                common = len(x) - len(added)
+                linked = can and 100 * common >= how.percent * (len(x) + len(y) - common)
+                if details:
+                    rows.append((i, j, linked, len(x), common, added.view(np.int64).tolist()))
+                elif linked:
+                    rows.append((i, j, True, None, None, None))
+            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+            cols = list(zip(*rows)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["a", "b", "linked", "n", "common", "added"])
+
+    return both.mapInArrow(run, PAIR)
+
+
+def _hashes(sets: DataFrame) -> DataFrame:
+    """owner and each hash g of its set."""
+    import pyarrow as pa
 
-    return both.mapInArrow(run, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, x in zip(b.column(0).to_pylist(), b.column(1)):
+                g = np.frombuffer(x.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), i), pa.int64()), pa.array(g)], ["owner", "g"])
+
+    return sets.select("id", "payload").mapInArrow(run, "owner long, g long")
+
+
+def closed(compared: DataFrame, sets: DataFrame, how: Sketch) -> DataFrame:
+    """id of those among compared (PAIR with details, each a once) that can have no link but that with their b.
+
+    What a shares with any other document is common with b or else a hash that this other document or the
+    one it was compared with holds as well; so it is at most the common part and the hashes outside of it
+    that have a second owner. If that is too little of a, no other document is similar enough.
+    """
+    outside = compared.select(F.col("a").alias("owner"), F.explode("added").alias("g"))
+    pivots = _hashes(sets.join(compared.select(F.col("b").alias("id")).distinct(), "id", "left_semi"))
+    owners = outside.unionByName(pivots).groupBy("g").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi"))
+    several = owners.where(F.col("lo") < F.col("hi")).select("g")
+    shared = outside.join(several, "g", "left_semi").groupBy("owner").agg(F.count(F.lit(1)).alias("shared"))
+    most = F.col("common") + F.coalesce("shared", F.lit(0))
+    bound = compared.select(F.col("a").alias("owner"), "n", "common").join(shared, "owner", "left")
+    return bound.where(100 * most < how.percent * F.col("n")).select(F.col("owner").alias("id"))
 
 
 def _with_components(df: DataFrame, comps: DataFrame, *cols: str) -> DataFrame:
@@ -176,30 +220,53 @@ def class_links(docs: DataFrame, reps: DataFrame, how: Sketch) -> DataFrame:
     width = 2 * how.rows
     each = F.transform(F.sequence(F.lit(0), F.lit(how.bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("registers"), i * width + 1, F.lit(width))))
     bands = reps.select("rep", "n", F.explode(each).alias("h"))
-    buckets = bands.groupBy("h").agg(F.min("rep").alias("pivot"), F.max("rep").alias("top")).where(F.col("pivot") < F.col("top")).drop("top")
-    members = materialize(bands.join(buckets, "h"), "members")
+    buckets = bands.groupBy("h").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = materialize(bands.join(buckets, "h"), "buckets")
+    # The pivot of a bucket is the member with the most company in all its buckets: of a group of edited copies, the original.
+    degree = members.groupBy("rep").agg(F.sum("size").alias("degree"))
+    members = members.drop("size").join(degree, "rep")
+    pivot = members.groupBy("h").agg(F.max(F.struct("degree", (-F.col("rep")).alias("rep"))).alias("p")).select("h", (-F.col("p.rep")).alias("pivot"))
+    members = materialize(members.drop("degree").join(pivot, "h"), "members")
     tries = members.where(F.col("rep") != F.col("pivot")).groupBy("rep", "pivot").agg(F.count(F.lit(1)).alias("bands"))
     tries = materialize(tries.select(F.col("rep").alias("a"), F.col("pivot").alias("b"), "bands"), "tries")
     needed = reps.join(members.select("rep").distinct(), "rep", "left_semi").select(F.col("rep").alias("id"), "c1", "c2")
     sets = materialize(payloads(docs, needed, how), "sets")
     # The pivot that most bands agree on.
     best = tries.groupBy("a").agg(F.max(F.struct("bands", (-F.col("b")).alias("b"))).alias("x")).select("a", (-F.col("x.b")).alias("b"))
-    links = materialize(verify(best, sets, how), "links")
+    compared = materialize(compare(best, sets, how, details=True), "compared")
+    done = materialize(closed(compared, sets, how), "closed")
+    links = materialize(compared.where("linked").select("a", "b"), "links")
     # The other pivots, where they lie in another component.
     comps = components(links)
-    other = _with_components(tries, comps, "a", "b").where(F.col("c_a") != F.col("c_b")).select("a", "b").join(best, ["a", "b"], "left_anti")
-    links = materialize(links.union(verify(other, sets, how)), "links")
-    # Members of buckets that still hold several components.
+    other = _with_components(tries, comps, "a", "b").where(F.col("c_a") != F.col("c_b")).select("a", "b")
+    other = other.join(best, ["a", "b"], "left_anti").join(done.withColumnRenamed("id", "a"), "a", "left_anti").join(done.withColumnRenamed("id", "b"), "b", "left_anti")
+    links = materialize(links.union(compare(other, sets, how).select("a", "b")), "links")
+    # Open members of other components, if what both share with their pivot, or with each other outside of it, can be enough.
     comps = components(links)
-    rows = materialize(_with_components(members.select("h", "rep", "n"), comps, "rep"), "members-left")
-    mixed = rows.groupBy("h").agg(F.min("c_rep").alias("lo"), F.max("c_rep").alias("hi")).where(F.col("lo") < F.col("hi")).select("h")
+    info = compared.join(done.withColumnRenamed("id", "a"), "a", "left_anti")
+    outside = _with_components(info, comps, "a").select("a", F.col("b").alias("pivot"), "n", "common", "linked", "c_a", F.explode("added").alias("g"))
+    outside = materialize(outside, "outside")
+    side = lambda k: [F.col(c).alias(f"{c}_{k}") for c in ("a", "n", "common", "c_a")]
+    x, y = outside.where("NOT linked").select("pivot", "g", *side("x")), outside.select("pivot", "g", *side("y"))
+    enough = lambda shared: (100 + how.percent) * (shared + F.least("common_x", "common_y")) >= how.percent * (F.col("n_x") + F.col("n_y"))
+    joint = x.join(y, ["pivot", "g"]).where((F.col("a_x") != F.col("a_y")) & (F.col("c_a_x") != F.col("c_a_y")))
+    joint = joint.groupBy("a_x", "a_y", "n_x", "n_y", "common_x", "common_y").agg(F.count(F.lit(1)).alias("shared")).where(enough(F.col("shared")))
+    joint = joint.select(F.greatest("a_x", "a_y").alias("a"), F.least("a_x", "a_y").alias("b"))
+
+    rows = members.select("h", F.col("rep").alias("a"), "n").join(done.withColumnRenamed("id", "a"), "a", "left_anti")
+    rows = _with_components(rows, comps, "a").join(info.select("a", F.col("b").alias("pivot"), "common"), "a", "left")
+    # A member that is the pivot of all its buckets is its own pivot.
+    rows = rows.withColumns({"common": F.coalesce("common", "n"), "pivot": F.coalesce("pivot", "a")})
+    rows = materialize(rows, "members-left")
+    mixed = rows.groupBy("h").agg(F.min("c_a").alias("lo"), F.max("c_a").alias("hi")).where(F.col("lo") < F.col("hi")).select("h")
     rows = rows.join(mixed, "h", "left_semi")
-    x = rows.select("h", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c_rep").alias("ca"))
-    y = rows.select("h", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c_rep").alias("cb"))
-    close = 100 * F.least("na", "nb") >= how.percent * F.greatest("na", "nb")
-    left = x.join(y, "h").where((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & close).select("a", "b").distinct()
+    x, y = (rows.select("h", F.col("pivot").alias(f"pivot_{k}"), *side(k)) for k in "xy")
+    close = 100 * F.least("n_x", "n_y") >= how.percent * F.greatest("n_x", "n_y")
+    can = (F.col("pivot_x") != F.col("pivot_y")) | enough(F.lit(0))
+    left = x.join(y, "h").where((F.col("a_x") > F.col("a_y")) & (F.col("c_a_x") != F.col("c_a_y")) & close & can)
+    left = left.select(F.col("a_x").alias("a"), F.col("a_y").alias("b")).union(joint).distinct()
     left = left.join(tries.select("a", "b"), ["a", "b"], "left_anti")
-    return links.union(materialize(verify(left, sets, how), "links"))
+    return links.union(materialize(compare(left, sets, how).select("a", "b"), "links"))
 
 
 def near_duplicates(docs: DataFrame, how: Sketch = Sketch()) -> DataFrame:
