@@ -96,6 +96,9 @@ def leaks(text, items):
         if not v or not w:
             continue
         own = collections.Counter(tuple(v[i : i + k]) for i in range(len(v) - k + 1))
+        have = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+        if 100 * sum(n for g, n in own.items() if g in have) < 75 * sum(own.values()):
+            continue
         for s in range(max(1, len(w) - len(v) + 1)):
             part = w[s : s + len(v)]
             c = collections.Counter(tuple(part[i : i + k]) for i in range(len(part) - k + 1))
