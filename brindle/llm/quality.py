@@ -1,9 +1,13 @@
 """Quality rules from line frequencies across documents, in DataFrame functions only.
 
 Lines are normalised (stripped, A-Z lower-cased, digits to 0) and hashed; for each host the
-distinct documents that hold a line are counted, copies of a text as one. Lines above the limit
-are removed, and a document of which fewer than ``min_words`` words are left is rejected as
-depleted. Documents that fail the base rules are rejected before that.
+distinct documents that hold a line are counted, copies of a text as one. A line is frequent if more
+than ``limit`` of them and more than ``percent`` per cent of the host's distinct documents hold it. A document
+of which fewer than ``min_words`` words are left without its frequent lines is rejected as depleted.
+Documents that fail the base rules are rejected before that.
+
+The pipeline judges by share (more than FEW documents and PERCENT per cent), so a page's verdict doesn't
+depend on the size of its host. The verdict of op8_quality_rules is laid down in ORACLE: more than 200, no share.
 
 A line that a third of the documents hold is first reduced to one row a text, then summed in
 each task, so no task gets all of it; the lines themselves never leave a task as text.
@@ -21,6 +25,8 @@ from pyspark.sql import functions as F
 from brindle.llm.common import SPACES, ascii_lower, materialize, row_key, text_or_empty, words
 
 SYMBOLS = "#*$%&|<>"
+#: What makes a line frequent in the pipeline.
+FEW, PERCENT = 4, 5
 
 
 def base_measures(docs: DataFrame, window: int = 5, min_words: int = 10, repeat_percent: int = 20) -> DataFrame:
@@ -65,28 +71,31 @@ def base_measures(docs: DataFrame, window: int = 5, min_words: int = 10, repeat_
     )
 
 
-def frequent_words(docs: DataFrame, host: str = "source", limit: int = 200) -> DataFrame:
-    """_row and n_frequent_words, of documents with lines that more than limit different texts of their host hold."""
-    lines = docs.select(row_key().alias("_row"), F.xxhash64(text_or_empty()).alias("_text"), F.col(host).alias("_host"), text_or_empty().alias("_t"))
-    lines = lines.select("_row", "_text", "_host", "_t", F.explode(F.split("_t", "\n", -1)).alias("_line"))
+def frequent_words(docs: DataFrame, host: str = "source", limit: int = 200, percent: int = 0) -> DataFrame:
+    """_row and n_frequent_words, of documents with lines that more than limit different texts of their host, and percent of them, hold."""
+    lines = docs.select(row_key().alias("_row"), F.xxhash64(text_or_empty()).alias("_text"), F.xxhash64(host).alias("_host"), text_or_empty().alias("_t"))
+    texts = lines.groupBy("_host", "_text").agg(F.lit(1).alias("one")).groupBy("_host").agg(F.count(F.lit(1)).alias("_of"))
+    lines = lines.select("_row", "_text", "_host", F.explode(F.split("_t", "\n", -1)).alias("_line"))
     bare = F.btrim(F.col("_line"), F.lit(SPACES))
     lines = lines.select(
         "_row",
         "_text",
+        "_host",
         F.xxhash64("_host", F.translate(ascii_lower(bare), "123456789", "000000000")).alias("_h"),
         F.size(words(F.col("_line"))).alias("_n"),
     ).where(F.col("_n") > 0)
-    common = (
-        lines.groupBy("_h", "_text").agg(F.lit(1).alias("one")).groupBy("_h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("_h")
-    )
+    common = lines.groupBy("_h", "_host", "_text").agg(F.lit(1).alias("one")).groupBy("_h", "_host").agg(F.count(F.lit(1)).alias("n"))
+    common = common.where(F.col("n") > limit)
+    if percent:
+        common = common.join(texts, "_host").where(100 * F.col("n") > percent * F.col("_of"))
     found = lines.groupBy("_row", "_h", "_text").agg(F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_c"))
-    return found.join(common, "_h", "left_semi").groupBy("_row").agg(F.sum("_n").alias("n_frequent_words"))
+    return found.join(common.select("_h"), "_h", "left_semi").groupBy("_row").agg(F.sum("_n").alias("n_frequent_words"))
 
 
-def judge(docs: DataFrame, host: str = "source", limit: int = 200, min_words: int = 10) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", limit: int = 200, min_words: int = 10, percent: int = 0) -> DataFrame:
     """docs with the base measures, n_frequent_words and kept."""
     docs = docs.drop("_row", "n_frequent_words")
-    frequent = frequent_words(docs, host, limit)
+    frequent = frequent_words(docs, host, limit, percent)
     out = base_measures(docs.withColumn("_row", row_key()), min_words=min_words)
     out = out.join(frequent, "_row", "left").drop("_row")
     out = out.withColumn("n_frequent_words", F.coalesce("n_frequent_words", F.lit(0)).cast("long"))
@@ -94,9 +103,9 @@ def judge(docs: DataFrame, host: str = "source", limit: int = 200, min_words: in
     return out.withColumn("kept", ~F.col("base_failed") & ~depleted)
 
 
-def keep_good(docs: DataFrame, host: str = "source", limit: int = 200, min_words: int = 10) -> DataFrame:
+def keep_good(docs: DataFrame, host: str = "source", limit: int = FEW, min_words: int = 10, percent: int = PERCENT) -> DataFrame:
     """The documents that judge() keeps, texts untouched. Texts aren't shuffled: what is rejected is anti-joined by key."""
-    judged = judge(docs.select("doc_id", "text", host), host, limit, min_words)
+    judged = judge(docs.select("doc_id", "text", host), host, limit, min_words, percent)
     rejected = materialize(judged.where(~F.col("kept")).select(row_key().alias("_row")).distinct(), "rejected")
     return docs.withColumn("_row", row_key()).join(rejected, "_row", "left_anti").drop("_row")
 

@@ -254,6 +254,19 @@ def test_depleted_documents_go(spark):
     assert got == {**{i: True for i in range(5)}, 9: False, 10: True}
 
 
+def host_rows(size, host):
+    """A tenth of the host's documents hold a line; the first of them has too few words besides."""
+    line = "all rights reserved by the owners of this very host of pages"
+    own = lambda i: " ".join(f"{host}{chr(97 + i % 26)}{chr(97 + i // 26)}{c}" for c in "abcdefghijkl")
+    return [(1000 * size + i, (line + "\n" if i < size // 10 else "") + (own(i) if i else "few words of it"), host) for i in range(size)]
+
+
+def test_depleted_documents_go_whatever_the_size_of_the_host(spark):
+    rows = host_rows(60, "x") + host_rows(600, "y")
+    got = quality.keep_good(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {i for i, _, _ in rows} - {r.doc_id for r in got} == {60_000, 600_000}
+
+
 # ---- 9
 
 
