@@ -2,15 +2,17 @@
 
 Lines are normalised (stripped, A-Z lower-cased, digits to 0) and hashed; for each host the
 distinct documents that hold a line are counted, copies of a text as one. A line is frequent if more
-than ``limit`` of them and more than ``percent`` per cent of the host's distinct documents hold it. A document
-of which fewer than ``min_words`` words are left without its frequent lines is rejected as depleted.
-Documents that fail the base rules are rejected before that.
+than ``limit`` of them and more than ``percent`` per cent of the host's distinct documents hold it. Frequent lines
+are removed, and a document of which fewer than ``min_words`` words are left is rejected as
+depleted. Documents that fail the base rules are rejected before that. judge() counts the words of such
+lines for the verdict; keep_good() gives the texts without them.
 
 The pipeline judges by share (more than FEW documents and PERCENT per cent), so a page's verdict doesn't
 depend on the size of its host. The verdict of op8_quality_rules is laid down in ORACLE: more than 200, no share.
 
 A line that a third of the documents hold is first reduced to one row a text, then summed in
-each task, so no task gets all of it; the lines themselves never leave a task as text.
+each task, so no task gets all of it; the lines themselves never leave a task as text. What is removed is
+joined by document and line number.
 
 Defined results: a null text has no words and fails; repeated rows get the same verdict; null
 hosts form one host; an empty table gives an empty one; other columns pass through unless the
@@ -71,16 +73,22 @@ def base_measures(docs: DataFrame, window: int = 5, min_words: int = 10, repeat_
     )
 
 
-def frequent_words(docs: DataFrame, host: str = "source", limit: int = 200, percent: int = 0) -> DataFrame:
-    """_row and n_frequent_words, of documents with lines that more than limit different texts of their host, and percent of them, hold."""
-    lines = docs.select(row_key().alias("_row"), F.xxhash64(text_or_empty()).alias("_text"), F.xxhash64(host).alias("_host"), text_or_empty().alias("_t"))
+def _key(host: str) -> Column:
+    """As row_key(), but rows that differ in their host alone have other frequent lines."""
+    return F.xxhash64(row_key(), F.col(host))
+
+
+def frequent_lines(docs: DataFrame, host: str = "source", limit: int = 200, percent: int = 0) -> DataFrame:
+    """_row, n_frequent_words and _gone (line numbers from 0), of documents with lines that more than limit different texts of their host, and percent of them, hold."""
+    lines = docs.select(_key(host).alias("_row"), F.xxhash64(text_or_empty()).alias("_text"), F.xxhash64(host).alias("_host"), text_or_empty().alias("_t"))
     texts = lines.groupBy("_host", "_text").agg(F.lit(1).alias("one")).groupBy("_host").agg(F.count(F.lit(1)).alias("_of"))
-    lines = lines.select("_row", "_text", "_host", F.explode(F.split("_t", "\n", -1)).alias("_line"))
+    lines = lines.select("_row", "_text", "_host", F.posexplode(F.split("_t", "\n", -1)).alias("_at", "_line"))
     bare = F.btrim(F.col("_line"), F.lit(SPACES))
     lines = lines.select(
         "_row",
         "_text",
         "_host",
+        "_at",
         F.xxhash64("_host", F.translate(ascii_lower(bare), "123456789", "000000000")).alias("_h"),
         F.size(words(F.col("_line"))).alias("_n"),
     ).where(F.col("_n") > 0)
@@ -88,26 +96,37 @@ def frequent_words(docs: DataFrame, host: str = "source", limit: int = 200, perc
     common = common.where(F.col("n") > limit)
     if percent:
         common = common.join(texts, "_host").where(100 * F.col("n") > percent * F.col("_of"))
-    found = lines.groupBy("_row", "_h", "_text").agg(F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_c"))
-    return found.join(common.select("_h"), "_h", "left_semi").groupBy("_row").agg(F.sum("_n").alias("n_frequent_words"))
+    # Known before the lines are made again, so that a few of them are sent to the lines, not the lines to them.
+    common = materialize(common.select("_h"), "frequent-lines")
+    found = lines.select("_row", "_h", "_at", "_n").join(common, "_h", "left_semi").groupBy("_row", "_at").agg(F.first("_n").alias("_n"))
+    return found.groupBy("_row").agg(F.sum("_n").alias("n_frequent_words"), F.collect_set("_at").alias("_gone"))
 
 
-def judge(docs: DataFrame, host: str = "source", limit: int = 200, min_words: int = 10, percent: int = 0) -> DataFrame:
-    """docs with the base measures, n_frequent_words and kept."""
-    docs = docs.drop("_row", "n_frequent_words")
-    frequent = frequent_words(docs, host, limit, percent)
-    out = base_measures(docs.withColumn("_row", row_key()), min_words=min_words)
-    out = out.join(frequent, "_row", "left").drop("_row")
+def _judged(docs: DataFrame, frequent: DataFrame, host: str, min_words: int) -> DataFrame:
+    """docs with the base measures, kept, and _row and the columns of frequent."""
+    out = base_measures(docs.withColumn("_row", _key(host)), min_words=min_words)
+    out = out.join(frequent, "_row", "left")
     out = out.withColumn("n_frequent_words", F.coalesce("n_frequent_words", F.lit(0)).cast("long"))
     depleted = F.col("n_words") - F.col("n_frequent_words") < min_words
     return out.withColumn("kept", ~F.col("base_failed") & ~depleted)
 
 
+def judge(docs: DataFrame, host: str = "source", limit: int = 200, min_words: int = 10, percent: int = 0) -> DataFrame:
+    """docs with the base measures, n_frequent_words and kept."""
+    docs = docs.drop("_row", "n_frequent_words")
+    return _judged(docs, frequent_lines(docs, host, limit, percent).drop("_gone"), host, min_words).drop("_row")
+
+
 def keep_good(docs: DataFrame, host: str = "source", limit: int = FEW, min_words: int = 10, percent: int = PERCENT) -> DataFrame:
-    """The documents that judge() keeps, texts untouched. Texts aren't shuffled: what is rejected is anti-joined by key."""
-    judged = judge(docs.select("doc_id", "text", host), host, limit, min_words, percent)
-    rejected = materialize(judged.where(~F.col("kept")).select(row_key().alias("_row")).distinct(), "rejected")
-    return docs.withColumn("_row", row_key()).join(rejected, "_row", "left_anti").drop("_row")
+    """The documents that judge() keeps, their texts without the frequent lines; texts without such lines are untouched."""
+    docs, own = docs.drop("_row", "_gone", "_kept"), docs.select("doc_id", "text", host)
+    judged = _judged(own, frequent_lines(own, host, limit, percent), host, min_words)
+    changed = judged.where(~F.col("kept") | F.col("_gone").isNotNull()).groupBy("_row").agg(F.first("kept").alias("_kept"), F.first("_gone").alias("_gone"))
+    out = docs.withColumn("_row", _key(host)).join(materialize(changed, "rejected-or-cut"), "_row", "left")
+    left = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("_gone", i))
+    out = out.where(F.coalesce("_kept", F.lit(True)))
+    text = F.when(F.col("_gone").isNotNull(), F.array_join(left, "\n")).otherwise(F.col("text"))
+    return out.withColumn("text", text).drop("_row", "_gone", "_kept")
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:

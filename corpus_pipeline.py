@@ -15,8 +15,8 @@ from brindle.llm.common import materialize
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or consist of their host's boilerplate lines go."""
-    return quality.keep_good(docs)
+    """Documents that fail the base rules or consist of their host's boilerplate lines go; from the others those lines go."""
+    return quality.keep_good(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

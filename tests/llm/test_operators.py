@@ -267,6 +267,16 @@ def test_depleted_documents_go_whatever_the_size_of_the_host(spark):
     assert {i for i, _, _ in rows} - {r.doc_id for r in got} == {60_000, 600_000}
 
 
+def test_frequent_lines_are_removed(spark):
+    """Short ones too, and those that differ in digits; from each of repeated rows; at their host alone."""
+    own = lambda i: " ".join(f"w{chr(97 + i)}{c}" for c in "abcdefghijklmnop")
+    rows = [(i, f"Page {i}\n{own(i)}\n\n next >> \n{own(i)[::-1]}", "h") for i in range(8)]
+    rows += [rows[0], (30, f"Page 1\n{own(20)}", "other"), (*rows[1][:2], "other"), (40, f"Page 9\n{own(21)[:44]}\nnext >>", "h")]
+    got = quality.keep_good(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    want = [(i, f"{own(i)}\n\n{own(i)[::-1]}", "h") for i in [*range(8), 0]] + [rows[9], rows[10], (40, own(21)[:44], "h")]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 # ---- 9
 
 
