@@ -18,7 +18,8 @@ than ``broadcast_items``, else they are joined by shuffles; so are the documents
 
 Defined results: null or empty texts and items match nothing; a document shorter than an item is
 one window; items of fewer than ``k`` words are matched as one shingle of all their words; repeated
-rows get the same result; an empty table or benchmark gives no matches; other columns pass through.
+rows get the same result; items are told apart by id and text, so texts that share an id, or have none, are all
+searched for (n_items counts ids, no id as one of them; item_id is null where only items without one match); an empty table or benchmark gives no matches; other columns pass through.
 """
 
 from __future__ import annotations
@@ -84,13 +85,13 @@ def matches(
     docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 75, radius: int = 28, broadcast_items: int = 20_000, broadcast_docs: int = 200_000
 ) -> DataFrame:
     """_row, item_id, start (word, from 1), n_words, similarity of the verified windows of docs (doc_id, text)."""
-    items = benchmark.where(F.col("text").isNotNull()).select("item_id", words(F.lower("text")).alias("w"))
+    items = benchmark.where(F.col("text").isNotNull()).select(F.xxhash64("item_id", "text").alias("_item"), "item_id", words(F.lower("text")).alias("w"))
     items = items.withColumn("len", F.size("w")).where(F.col("len") > 0).withColumn("k", F.least(F.lit(k), F.col("len")))
     sizes = sorted(r[0] for r in items.select("k").distinct().collect())  # at most k numbers
     gram_of = functools.reduce(lambda e, s: F.when(F.col("k") == s, _grams(F.col("w"), s)).otherwise(e), sizes, F.array().cast("array<bigint>"))
-    items = materialize(items.select("item_id", "len", "k", gram_of.alias("ig")).dropDuplicates(["item_id"]), "items")
+    items = materialize(items.select("_item", "item_id", "len", "k", gram_of.alias("ig")).dropDuplicates(["_item"]), "items")
     small = items.count() <= broadcast_items
-    shingles = items.select("item_id", "len", "k", F.posexplode("ig").alias("ipos", "g"))
+    shingles = items.select("_item", "len", "k", F.posexplode("ig").alias("ipos", "g"))
 
     src = docs.select(row_key().alias("_row"), words(F.lower(F.coalesce("text", F.lit("")))).alias("w"))
     hits = []
@@ -100,7 +101,7 @@ def matches(
     if not hits:
         return docs.sparkSession.createDataFrame([], "_row long, item_id long, start int, n_words int, similarity double")
     hits = functools.reduce(DataFrame.unionByName, hits)
-    per = hits.groupBy("_row", "item_id", "len", "k", "n").agg(
+    per = hits.groupBy("_row", "_item", "len", "k", "n").agg(
         F.size(F.collect_set("ipos")).alias("found"), F.sort_array(F.collect_set(F.col("pos") - F.col("ipos"))).alias("diag")
     )
     per = per.where(100 * F.col("found") >= percent * (F.col("len") - F.col("k") + 1))
@@ -117,12 +118,12 @@ def matches(
     wgram = functools.reduce(lambda e, s: F.when(F.col("k") == s, _grams(F.col("w"), s)).otherwise(e), sizes, F.array().cast("array<bigint>"))
     windows = materialize(part.select("_row", "len", "start", wgram.alias("wg")), "windows")
 
-    index = fingerprints(items, ["item_id"], "ig").join(items.select("item_id", "len", "ig"), "item_id").withColumnRenamed("fp", "item_fp")
+    index = fingerprints(items, ["_item"], "ig").join(items.select("_item", "len", "ig"), "_item").withColumnRenamed("fp", "item_fp")
     index = index.withColumn("block", F.explode(_blocks("item_fp", radius)))
     probe = fingerprints(windows, ["_row", "len", "start"], "wg").withColumn("block", F.explode(_blocks("fp", radius)))
-    near = probe.join(_maybe_broadcast(index.select("len", "block", "item_id", "item_fp"), small), ["len", "block"])
-    near = near.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select("_row", "len", "start", "item_id").distinct()
-    both = near.join(windows, ["_row", "len", "start"]).join(_maybe_broadcast(items.select("item_id", "ig"), small), "item_id")
+    near = probe.join(_maybe_broadcast(index.select("len", "block", "_item", "item_fp"), small), ["len", "block"])
+    near = near.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select("_row", "len", "start", "_item").distinct()
+    both = near.join(windows, ["_row", "len", "start"]).join(_maybe_broadcast(items.select("_item", "item_id", "ig"), small), "_item")
     both = both.withColumn("same", _common("wg", "ig")).withColumn("all", F.size("wg") + F.size("ig") - F.col("same"))
     return both.where(100 * F.col("same") >= percent * F.col("all")).select(
         "_row", "item_id", (F.col("start") + 1).alias("start"), F.col("len").alias("n_words"), (F.col("same") / F.col("all")).alias("similarity")
@@ -132,7 +133,7 @@ def matches(
 def judge(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """doc_id, contaminated, n_items, item_id (the most similar; the smallest of equals) and similarity of each document."""
     found = matches(docs, benchmark, **how).groupBy("_row").agg(
-        F.countDistinct("item_id").alias("n_items"), F.max(F.struct("similarity", (-F.col("item_id")).alias("i"))).alias("best")
+        (F.countDistinct("item_id") + F.max(F.col("item_id").isNull().cast("int"))).alias("n_items"), F.max(F.struct("similarity", (-F.col("item_id")).alias("i"))).alias("best")
     )
     out = docs.select("doc_id", row_key().alias("_row")).join(found, "_row", "left")
     return out.select(

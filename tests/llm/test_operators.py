@@ -135,6 +135,14 @@ def test_decontaminate(spark, awkward, repeated, none):
     assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r.contaminated}
 
 
+def test_items_that_share_an_id(spark):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(12))
+    bench = spark.createDataFrame([(1, text("a")), (1, text("b")), (1, text("b")), (None, text("c")), (None, text("d"))], "item_id long, text string")
+    docs = spark.createDataFrame([*((i, f"so {text(c)} it is") for i, c in enumerate("abcde")), (9, f"{text('b')} {text('d')}")], "doc_id long, text string")
+    got = {r.doc_id: (r.contaminated, r.n_items, r.item_id) for r in decontaminate.judge(docs, bench).collect()}
+    assert got == {0: (True, 1, 1), 1: (True, 1, 1), 2: (True, 1, None), 3: (True, 1, None), 4: (False, 0, None), 9: (True, 2, 1)}
+
+
 # ---- 4
 
 
