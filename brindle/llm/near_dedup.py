@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import materialize
+from brindle.llm.common import materialize, row_key
 from brindle.llm.components import components
 from brindle.llm.shingles import _stream, mix, shingle_set
 
@@ -289,9 +289,21 @@ def near_duplicates(docs: DataFrame, how: Sketch = Sketch()) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, how: Sketch = Sketch()) -> DataFrame:
-    """docs without the near-copies: of each component the row with the smallest id stays, one of them if rows repeat it."""
-    gone = materialize(near_duplicates(docs.select("doc_id", "text"), how).where(~F.col("kept")).select("doc_id").distinct(), "near-copies")
-    return docs.join(gone, "doc_id", "left_anti")
+    """docs without the near-copies: of each component the row with the smallest id stays, one of them if rows repeat its id and text.
+
+    A row without an id takes part by one made of its text, larger than real ones; so it goes if a document with an id is like it.
+    """
+    made = F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 2).bitwiseOR(F.lit(1 << 62))
+    docs = docs.drop("_id", "_row").withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), made))
+    own = docs.select(F.col("_id").alias("doc_id"), "text")
+    gone = materialize(near_duplicates(own, how).where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct(), "near-copies")
+    left = docs.join(gone, "_id", "left_anti").withColumn("_row", row_key("_id"))
+    twice = own.select(row_key().alias("_row")).groupBy("_row").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("_row")
+    twice = materialize(twice, "repeated-rows")
+    if not twice.isEmpty():
+        # Texts of repeated rows alone are shuffled.
+        left = left.join(twice, "_row", "left_anti").unionByName(left.join(twice, "_row", "left_semi").dropDuplicates(["_row"]))
+    return left.drop("_id", "_row")
 
 
 def op9_near_dedup(spark, sf_dir: str) -> DataFrame:

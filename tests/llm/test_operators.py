@@ -316,6 +316,15 @@ def test_near_dedup_of_many_edited_copies(spark):
         assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_one_row_of_repeated_ones_stays(spark):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    rows = [(1, text("a")), (1, text("a")), (2, text("a") + " more"), (3, text("b")), (None, text("b")), (None, text("c")), (None, text("c")), (None, text("c") + " more"), (4, ""), (4, ""), (5, text("d")), (5, text("e"))]
+    got = [tuple(r) for r in near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    c = [t for i, t in got if i is None]
+    assert len(c) == 1 and c[0] in (text("c"), text("c") + " more")
+    assert sorted(x for x in got if x[0]) == [(1, text("a")), (3, text("b")), (4, ""), (5, text("d")), (5, text("e"))]
+
+
 def test_registers_estimate_similarity():
     rng = np.random.default_rng(5)
     for share in (0.3, 0.75, 0.95):
