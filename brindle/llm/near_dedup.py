@@ -193,13 +193,15 @@ def _hashes(sets: DataFrame) -> DataFrame:
 def closed(compared: DataFrame, sets: DataFrame, how: Sketch) -> DataFrame:
     """id of those among compared (PAIR with details, each a once) that can have no link but that with their b.
 
-    What a shares with any other document is common with b or else a hash that this other document or the
-    one it was compared with holds as well; so it is at most the common part and the hashes outside of it
+    What a shares with any other document is common with b or else a hash that this other document (whole, if it
+    was compared with none) or the one it was compared with holds as well; so it is at most the common part and the hashes outside of it
     that have a second owner. If that is too little of a, no other document is similar enough.
     """
     outside = compared.select(F.col("a").alias("owner"), F.explode("added").alias("g"))
-    pivots = _hashes(sets.join(compared.select(F.col("b").alias("id")).distinct(), "id", "left_semi"))
-    owners = outside.unionByName(pivots).groupBy("g").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi"))
+    # Whole sets of pivots, and of members that were compared with none as they are the pivot of all their buckets.
+    alone = sets.select("id").join(compared.select(F.col("a").alias("id")), "id", "left_anti")
+    whole = compared.select(F.col("b").alias("id")).union(alone).distinct()
+    owners = outside.unionByName(_hashes(sets.join(whole, "id", "left_semi"))).groupBy("g").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi"))
     several = owners.where(F.col("lo") < F.col("hi")).select("g")
     shared = outside.join(several, "g", "left_semi").groupBy("owner").agg(F.count(F.lit(1)).alias("shared"))
     most = F.col("common") + F.coalesce("shared", F.lit(0))

@@ -316,6 +316,15 @@ def test_near_dedup_of_many_edited_copies(spark):
         assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_members_that_are_nobodys_best_count_as_owners(spark):
+    """3 is compared with none and nobody's best: 1, which shares all of its set with it, isn't closed; 5 shares too little."""
+    sets = {1: range(20), 2: range(10), 3: range(20), 4: range(90, 110), 5: range(100, 120)}
+    table = spark.createDataFrame([(i, None, np.array(x, np.uint64).tobytes()) for i, x in sets.items()], "id long, registers binary, payload binary")
+    rows = [(a, b, False, 20, 10, sorted(set(sets[a]) - set(sets[b]))) for a, b in ((1, 2), (5, 4))]
+    compared = spark.createDataFrame(rows, near_dedup.PAIR)
+    assert [r.id for r in near_dedup.closed(compared, table, near_dedup.Sketch()).collect()] == [5]
+
+
 def test_one_row_of_repeated_ones_stays(spark):
     text = lambda c: " ".join(f"{c}{i}" for i in range(40))
     rows = [(1, text("a")), (1, text("a")), (2, text("a") + " more"), (3, text("b")), (None, text("b")), (None, text("c")), (None, text("c")), (None, text("c") + " more"), (4, ""), (4, ""), (5, text("d")), (5, text("e"))]
