@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,13 +18,16 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset (local runs)."""
+    """The folder named by spark.checkpoint.dir; a temporary one only in local runs where that is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="brindle-")
+        atexit.register(shutil.rmtree, _own_dirs[app], ignore_errors=True)
         spark.sparkContext.setCheckpointDir(_own_dirs[app])
     return _own_dirs[app]
 
@@ -35,6 +40,39 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, tag: str, key: list[str]) -> DataFrame:
+    """As materialize(), dealt by key into as many buckets as shuffles have partitions and sorted by it: joins on key need no exchange of it."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"brindle_{tag}_{uuid.uuid4().hex}"
+    out = df.repartition(n, *key).write.format("parquet").option("path", f"{shared_dir(spark).rstrip('/')}/{name}")
+    out.bucketBy(n, *key).sortBy(*key).saveAsTable(name)
+    return spark.table(name)
+
+
+SALTS = 16
+
+
+def _salt(own: str) -> Column:
+    return F.pmod(F.xxhash64(own), F.lit(SALTS)).cast("int")
+
+
+def salts(own: str) -> Column:
+    """An aggregate for the groups that join_hot() gives back to their rows: which salts the rows have."""
+    return F.bit_or(F.call_function("shiftleft", F.lit(1), _salt(own))).alias("_salts")
+
+
+def join_hot(rows: DataFrame, groups: DataFrame, key: list[str], own: str, hint: str | None = None) -> DataFrame:
+    """rows joined with groups (key, _salts of the rows, more), SALTS tasks for a key that very many rows have.
+
+    A group goes only to the salts that its rows have, so a group of n rows is sent min(n, SALTS) times at most.
+    """
+    each = F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.getbit("_salts", i) == 1)).alias("_salt")
+    groups = groups.select("*", each).drop("_salts")
+    groups = groups.hint(hint) if hint else groups
+    return rows.withColumn("_salt", _salt(own)).join(groups, [*key, "_salt"]).drop("_salt")
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
@@ -50,9 +88,10 @@ def words(col: Column) -> Column:
     return F.when(F.length(bare) > 0, F.split(bare, "[ \\x09-\\x0D]+")).otherwise(F.array().cast("array<string>"))
 
 
-def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
-    """64 bits that equal rows share: joins a document with what was found of it, null ids and repeated ids included."""
-    return F.xxhash64(F.col(doc_id).cast("string"), F.coalesce(F.col(text), F.lit("")))
+def row_key(doc_id: str = "doc_id", text: str = "text", *more: str) -> Column:
+    """128 bits that equal rows share: joins a document with what was found of it, null ids and repeated ids included."""
+    given = [F.col(doc_id).cast("string"), F.coalesce(F.col(text), F.lit("")), *map(F.col, more)]
+    return F.struct(F.xxhash64(*given).alias("a"), F.xxhash64(F.lit(7), *given).alias("b"))
 
 
 class TwoGenerations(dict):

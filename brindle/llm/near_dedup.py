@@ -12,9 +12,12 @@ Documents with equal sets are one class from the start, represented by their sma
 band's bucket nothing is paired with everything: first each member is compared with one pivot, the
 central member that most of its bands agree on. That comparison also bounds what a member can share
 with any third document, which closes most of those that aren't linked. Members still open are compared
-with the pivots of their other bands; only then, and only where a bucket still holds open members of
-more than one component, are those paired. So a group of n copies costs about n comparisons, and no
-link between different components is left out. With the defaults two documents at the threshold share no band with probability 1e-6.
+with the pivots of their other bands. What then may still be linked across components shares a bucket,
+hence the pivot of that bucket, and is searched by how it differs from that pivot (``_by_difference``): two
+sets are similar only if they differ from it in the same way, an exact prefix filter over the
+differences that leaves out what one member alone has. So a group of n copies costs about n
+comparisons, and no link between different components is left out. With the defaults two documents at
+the threshold share no band with probability 1e-6.
 
 Defined results: a text without words has no shingles and no links; documents without an id
 aren't linked (component null, kept); rows with the same id are one node: its sets are linked
@@ -31,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import materialize, row_key
+from brindle.llm.common import join_hot, materialize, row_key, salts
 from brindle.llm.components import components
 from brindle.llm.shingles import _stream, mix, shingle_set
 
@@ -43,7 +46,7 @@ class Sketch:
     shingle: int = 5
     percent: int = 75
     margin: float = 0.2
-    #: Candidates are looked up by broadcast up to so many, else by a shuffle of the texts.
+    #: Candidates (three longs each) are looked up by broadcast up to so many, else by a shuffle of the texts.
     broadcast_rows: int = 1_000_000
 
     @property
@@ -135,6 +138,14 @@ def payloads(docs: DataFrame, needed: DataFrame, how: Sketch) -> DataFrame:
     return src.mapInArrow(run, "id long, registers binary, payload binary")
 
 
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs with registers (ra, rb) and sets (pa, pb) of a and b; b may be the pivot of very many a."""
+    side = lambda k: sets.select(F.col("id").alias(k), F.col("registers").alias(f"r{k}"), F.col("payload").alias(f"p{k}"))
+    pairs = materialize(pairs, "pairs")
+    pivots = side("b").join(pairs.groupBy("b").agg(salts("a")), "b")
+    return join_hot(pairs.join(side("a"), "a"), pivots, ["b"], "a")
+
+
 PAIR = "a long, b long, linked boolean, n long, common long, added array<long>"
 
 
@@ -146,8 +157,7 @@ def compare(pairs: DataFrame, sets: DataFrame, how: Sketch, details: bool = Fals
     """
     import pyarrow as pa
 
-    side = lambda k: sets.select(F.col("id").alias(k), F.col("registers").alias(f"r{k}"), F.col("payload").alias(f"p{k}"))
-    both = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").select("a", "b", "ra", "rb", "pa", "pb")
+    both = _with_sets(pairs, sets).select("a", "b", "ra", "rb", "pa", "pb")
 
     def possible(ra, rb, x, y) -> bool:
         small, large = sorted((len(x), len(y)))
@@ -221,14 +231,15 @@ def class_links(docs: DataFrame, reps: DataFrame, how: Sketch) -> DataFrame:
     """Links (a, b) between the classes in reps (rep, n, c1, c2, registers) that give their components."""
     width = 2 * how.rows
     each = F.transform(F.sequence(F.lit(0), F.lit(how.bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("registers"), i * width + 1, F.lit(width))))
-    bands = reps.select("rep", "n", F.explode(each).alias("h"))
-    buckets = bands.groupBy("h").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = materialize(bands.join(buckets, "h"), "buckets")
+    bands = reps.select("rep", F.explode(each).alias("h"))
+    buckets = bands.groupBy("h").agg(F.count(F.lit(1)).alias("size"), salts("rep")).where("size > 1")
+    members = materialize(join_hot(bands, buckets, ["h"], "rep"), "buckets")
     # The pivot of a bucket is the member with the most company in all its buckets: of a group of edited copies, the original.
     degree = members.groupBy("rep").agg(F.sum("size").alias("degree"))
     members = members.drop("size").join(degree, "rep")
-    pivot = members.groupBy("h").agg(F.max(F.struct("degree", (-F.col("rep")).alias("rep"))).alias("p")).select("h", (-F.col("p.rep")).alias("pivot"))
-    members = materialize(members.drop("degree").join(pivot, "h"), "members")
+    pivot = members.groupBy("h").agg(F.max(F.struct("degree", (-F.col("rep")).alias("rep"))).alias("p"), salts("rep"))
+    pivot = pivot.select("h", (-F.col("p.rep")).alias("pivot"), "_salts")
+    members = materialize(join_hot(members.drop("degree"), pivot, ["h"], "rep"), "members")
     tries = members.where(F.col("rep") != F.col("pivot")).groupBy("rep", "pivot").agg(F.count(F.lit(1)).alias("bands"))
     tries = materialize(tries.select(F.col("rep").alias("a"), F.col("pivot").alias("b"), "bands"), "tries")
     needed = reps.join(members.select("rep").distinct(), "rep", "left_semi").select(F.col("rep").alias("id"), "c1", "c2")
@@ -240,37 +251,86 @@ def class_links(docs: DataFrame, reps: DataFrame, how: Sketch) -> DataFrame:
     links = materialize(compared.where("linked").select("a", "b"), "links")
     # The other pivots, where they lie in another component.
     comps = components(links)
-    other = _with_components(tries, comps, "a", "b").where(F.col("c_a") != F.col("c_b")).select("a", "b")
-    other = other.join(best, ["a", "b"], "left_anti").join(done.withColumnRenamed("id", "a"), "a", "left_anti").join(done.withColumnRenamed("id", "b"), "b", "left_anti")
+    is_open = lambda df, c: df.join(done.withColumnRenamed("id", c), c, "left_anti")
+    open_tries = materialize(is_open(tries, "a").select("a", "b"), "open-tries")
+    other = is_open(_with_components(open_tries, comps, "a", "b").where(F.col("c_a") != F.col("c_b")), "b").select("a", "b")
+    other = other.join(best, ["a", "b"], "left_anti")
     links = materialize(links.union(compare(other, sets, how).select("a", "b")), "links")
-    # Open members of other components, if what both share with their pivot, or with each other outside of it, can be enough.
-    comps = components(links)
-    info = compared.join(done.withColumnRenamed("id", "a"), "a", "left_anti")
-    outside = _with_components(info, comps, "a").select("a", F.col("b").alias("pivot"), "n", "common", "linked", "c_a", F.explode("added").alias("g"))
-    outside = materialize(outside, "outside")
-    side = lambda k: [F.col(c).alias(f"{c}_{k}") for c in ("a", "n", "common", "c_a")]
-    x, y = outside.where("NOT linked").select("pivot", "g", *side("x")), outside.select("pivot", "g", *side("y"))
-    enough = lambda shared: (100 + how.percent) * (shared + F.least("common_x", "common_y")) >= how.percent * (F.col("n_x") + F.col("n_y"))
-    joint = x.join(y, ["pivot", "g"]).where((F.col("a_x") != F.col("a_y")) & (F.col("c_a_x") != F.col("c_a_y")))
-    joint = joint.groupBy("a_x", "a_y", "n_x", "n_y", "common_x", "common_y").agg(F.count(F.lit(1)).alias("shared")).where(enough(F.col("shared")))
-    joint = joint.select(F.greatest("a_x", "a_y").alias("a"), F.least("a_x", "a_y").alias("b"))
-
-    rows = members.select("h", F.col("rep").alias("a"), "n").join(done.withColumnRenamed("id", "a"), "a", "left_anti")
-    rows = _with_components(rows, comps, "a").join(info.select("a", F.col("b").alias("pivot"), "common"), "a", "left")
-    # A member that is the pivot of all its buckets is its own pivot.
-    rows = rows.withColumns({"common": F.coalesce("common", "n"), "pivot": F.coalesce("pivot", "a")})
-    rows = materialize(rows, "members-left")
-    mixed = rows.groupBy("h").agg(F.min("c_a").alias("lo"), F.max("c_a").alias("hi")).where(F.col("lo") < F.col("hi")).select("h")
-    rows = rows.join(mixed, "h", "left_semi")
-    x, y = (rows.select("h", F.col("pivot").alias(f"pivot_{k}"), *side(k)) for k in "xy")
-    close = 100 * F.least("n_x", "n_y") >= how.percent * F.greatest("n_x", "n_y")
-    can = (F.col("pivot_x") != F.col("pivot_y")) | enough(F.lit(0))
-    left = x.join(y, "h").where((F.col("a_x") > F.col("a_y")) & (F.col("c_a_x") != F.col("c_a_y")) & close & can)
-    left = left.select(F.col("a_x").alias("a"), F.col("a_y").alias("b")).union(joint).distinct()
-    left = left.join(tries.select("a", "b"), ["a", "b"], "left_anti")
+    # Members of one pivot that lie in several components.
+    members = materialize(_with_components(open_tries, components(links), "a", "b"), "components-of-pivots")
+    mixed = members.groupBy("b").agg(F.min("c_a").alias("lo"), F.max("c_a").alias("hi"), salts("a")).where(F.col("lo") < F.col("hi"))
+    members = join_hot(members, mixed.drop("lo", "hi"), ["b"], "a")
+    left = _by_difference(differences(members, sets), how).join(tries.select("a", "b"), ["a", "b"], "left_anti")
     return links.union(materialize(compare(left, sets, how).select("a", "b"), "links"))
 
 
+DIFFERENCE = "a long, pivot long, c long, inside boolean, size long, missing long, added long, bits array<long>, differs array<long>"
+
+
+def differences(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """How the set of each a differs from that of its pivot b: DIFFERENCE rows of members (a, b, c_a, c_b).
+
+    size: of the pivot's set; missing and added: hashes of the pivot that a lacks, and the others of a; bits: parity of
+    the differing hashes in 256 bits, so that two differences in k hashes have at most k other bits.
+    """
+    import pyarrow as pa
+
+    names = [x.split()[0] for x in DIFFERENCE.split(", ")]
+    kinds = [pa.int64()] * 3 + [pa.bool_()] + [pa.int64()] * 3 + [pa.list_(pa.int64())] * 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for a, b, c, inside, x, y in zip(*(batch.column(k).to_pylist() if k < 4 else batch.column(k) for k in range(6))):
+                own, pivot = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
+                d = np.setxor1d(own, pivot, assume_unique=True)
+                common = (len(own) + len(pivot) - len(d)) // 2
+                bit = mix(d)
+                bits = np.zeros(4, np.uint64)
+                np.bitwise_xor.at(bits, (bit & np.uint64(3)).astype(np.int64), np.uint64(1) << ((bit >> np.uint64(2)) & np.uint64(63)))
+                rows.append((a, b, c, inside, len(pivot), len(pivot) - common, len(own) - common, bits.view(np.int64).tolist(), d.view(np.int64).tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * len(names), kinds)], names)
+
+    inside = (F.col("c_a") == F.col("c_b")).alias("inside")
+    return _with_sets(members, sets).select("a", "b", "c_a", inside, "pa", "pb").mapInArrow(run, DIFFERENCE)
+
+
+def _by_difference(members: DataFrame, how: Sketch) -> DataFrame:
+    """Pairs (a, b; a the larger id) of members (DIFFERENCE) of one pivot but of two components that can be similar.
+
+    With t the threshold and R the pivot's set, x and y have |R| - missing(x) - missing(y) + (what they differ from R in
+    alike) hashes in common, so they are similar exactly if they differ alike in at least
+    w(x) + w(y) - |R| (1 - t) / (1 + t) hashes, w = (missing + t added) / (1 + t). A member that isn't linked with the
+    pivot has w > |R| (1 - t) / (1 + t), so at least one hash is asked of all pairs of different components.
+    Hashes in which a member differs alone can't be among those; of the others, put in order of how many share them, one
+    of the first size - needed + 1 of x and of y must be shared (prefix filter), and the bits
+    bound what is alike as well. All of it in integers, times 100 (1 + t).
+    """
+    members = materialize(members, "differences")
+    unit = 100 + how.percent
+    each = members.select("a", "pivot", F.explode("differs").alias("g"))
+    shared = each.groupBy("pivot", "g").agg(F.count(F.lit(1)).alias("owners"), salts("a")).where("owners > 1")
+    alike = join_hot(each, shared, ["pivot", "g"], "a").groupBy("a", "pivot").agg(F.sort_array(F.collect_list(F.struct("owners", "g"))).alias("alike"))
+    rows = members.drop("differs").join(alike, ["a", "pivot"]).withColumn("w", 100 * F.col("missing") + how.percent * F.col("added"))
+    rows = rows.withColumns({"free": (100 - how.percent) * F.col("size"), "differ": F.col("missing") + F.col("added"), "last": F.size("alike") + F.lit(1)})
+    # Places (from 1) that can be in a prefix: if the partner is outside of the pivot's component, or else inside.
+    most = F.col("last") * unit - F.col("w") + F.when(F.col("inside"), 0).otherwise(F.col("free"))
+    first = F.slice("alike", 1, F.greatest(F.lit(0), F.least(F.col("last") - 1, F.floor(most / unit))).cast("int"))
+    rows = rows.select("a", "pivot", "c", "inside", "w", "free", "differ", "last", "bits", F.posexplode(first).alias("at", "own"))
+    rows = materialize(rows.select("pivot", F.col("own.g").alias("g"), (F.col("at") + 1).alias("at"), "a", "c", "inside", "w", "free", "differ", "last", "bits"), "prefixes")
+    side = lambda df, k: df.select("pivot", "g", *(F.col(c).alias(f"{c}_{k}") for c in ("at", "a", "c", "w", "free", "differ", "last", "bits")))
+    x = side(rows.where("NOT inside"), "x")
+    y = side(rows.where((F.col("last") - F.col("at")) * unit > F.col("w")), "y")
+    need = F.col("w_x") + F.col("w_y") - F.col("free_x")
+    other_bits = sum((F.bit_count(F.col("bits_x")[i].bitwiseXOR(F.col("bits_y")[i])) for i in range(4)), F.lit(0))
+    can = (F.col("a_x") != F.col("a_y")) & (F.col("c_x") != F.col("c_y"))
+    for k in "xy":
+        can &= (F.col(f"last_{k}") - F.col(f"at_{k}")) * unit >= need
+    can &= unit * (F.col("differ_x") + F.col("differ_y") - other_bits) >= 2 * need
+    pairs = x.join(y, ["pivot", "g"]).where(can)
+    return pairs.select(F.greatest("a_x", "a_y").alias("a"), F.least("a_x", "a_y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, how: Sketch = Sketch()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of docs (doc_id, text)."""
     all_of = materialize(sketch(docs, how), "sketch")
