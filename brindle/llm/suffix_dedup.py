@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.bwt import repeated_starts
-from brindle.llm.common import materialize, row_key
+from brindle.llm.common import join_hot, materialize, row_key, salts
 from brindle.llm.shingles import _stream, mix
 
 
@@ -119,21 +119,21 @@ def all_regions(docs: DataFrame, plan: Plan) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_digest
         for b in batches:
-            rows, starts, counts, minis, ties, hashes = [], [], [], [], [], []
-            for row, x in zip(b.column(0).to_pylist(), b.column(1)):
+            sizes, starts, counts, minis, ties, hashes = [], [], [], [], [], []
+            for x in b.column(1):
                 text = x.as_buffer().to_pybytes()
                 s, c, m, t = regions(text, plan)
+                sizes.append(len(s))
                 if len(s):
                     ends = (s + c + plan.length - 1).tolist()
                     hashes.append(np.frombuffer(b"".join(digest(text[i:j]) for i, j in zip(s.tolist(), ends)), ">i8"))
-                    rows.append(np.full(len(s), row))
                     starts.append(s)
                     counts.append(c)
                     minis.append(m)
                     ties.append(t)
-            if rows:
+            if starts:
                 yield _batch(
-                    _row=pa.array(np.concatenate(rows), pa.int64()),
+                    _row=b.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes))),
                     start=pa.array(np.concatenate(starts).astype(np.int32)),
                     count=pa.array(np.concatenate(counts).astype(np.int32)),
                     mini=pa.array(np.concatenate(minis), pa.int64()),
@@ -141,7 +141,7 @@ def all_regions(docs: DataFrame, plan: Plan) -> DataFrame:
                     content=pa.array(np.concatenate(hashes).astype(np.int64)),
                 )
 
-    return _texts(docs).mapInArrow(run, "_row long, start int, count int, mini long, ties boolean, content long")
+    return _texts(docs).mapInArrow(run, "_row struct<a:long,b:long>, start int, count int, mini long, ties boolean, content long")
 
 
 def _runs(text: bytes, mini: int, plan: Plan) -> Iterator[tuple[int, int, int]]:
@@ -271,20 +271,22 @@ def _hot_repeats(docs: DataFrame, classes: DataFrame, plan: Plan) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     """_row and found, an array of (start, spans): what is repeated of each text, spans counted from start."""
+    # A join's strategy doesn't depend on the size of what was found: always a shuffle of these narrow rows.
     every = materialize(all_regions(docs, plan), "regions")
-    several = every.groupBy("mini").agg(F.sum(F.when(F.col("ties"), 2).otherwise(1)).alias("n")).where(F.col("n") > 1).select("mini")
-    kept = materialize(every.drop("ties").join(several, "mini"), "repeated-regions")
+    several = every.groupBy("mini").agg(F.sum(F.when(F.col("ties"), 2).otherwise(1)).alias("n"), salts("_row")).where(F.col("n") > 1).drop("n")
+    kept = materialize(join_hot(every.drop("ties"), several, ["mini"], "_row", "merge"), "repeated-regions")
     place = F.struct("_row", "start", "count")
-    classes = kept.groupBy("mini", "content").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("p"))
-    classes = materialize(classes.select("mini", "content", "times", "p.*"), "classes")
+    classes = kept.groupBy("mini", "content").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("p"), salts("_row"))
+    classes = materialize(classes.select("mini", "content", "times", "_salts", "p.*"), "classes")
     hot = materialize(classes.groupBy("mini").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > plan.hot).select("mini"), "hot")
     any_hot = not hot.isEmpty()
     cold = classes.join(hot, "mini", "left_anti") if any_hot else classes
     spans = _repeats(_pieces(docs, cold, False, plan), plan).select(F.col("key").alias("mini"), "content", "spans")
     if any_hot:
         spans = spans.union(_hot_repeats(docs, classes.join(hot, "mini", "left_semi"), plan))
-    spans = materialize(spans, "repeats")
-    return kept.join(spans, ["mini", "content"]).groupBy("_row").agg(F.collect_list(F.struct("start", "spans")).alias("found"))
+    spans = materialize(spans, "repeats").join(classes.select("mini", "content", "_salts"), ["mini", "content"])
+    found = join_hot(kept, spans, ["mini", "content"], "_row", "merge")
+    return found.groupBy("_row").agg(F.collect_list(F.struct("start", "spans")).alias("found"))
 
 
 def cut_repeats(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
