@@ -1,15 +1,16 @@
 """Line deduplication with levelled sorted runs of line hashes.
 
-The store keeps what is known of lines as runs: tables sorted by the 128-bit hash of a line's
-key, each row with the number of documents that hold it and the largest of their ids. A batch of
-documents is reduced to one such row a line; those rows are merge-joined with the runs (both
-sides sorted on the hash): what anti-joins is new, the rest adds to known lines. The batch then
-becomes a run of level 0. When a level has ``fanout`` runs, they are compacted into one of the
-next level, so a store of n batches has O(log n) runs and a row is rewritten O(log n) times.
-
-Every run is a Parquet table in the shared folder: a lost executor loses nothing. Lines are
+The store keeps what is known of lines as runs: tables dealt and sorted by the 128-bit hash of a line's
+key, so that merge joins with them move nothing. A batch of documents is reduced to one row a line,
+with the number of documents that hold it and the largest of their ids, and merge-anti-joined with
+the runs: what is new adds its own row, so every line stands as new in one run only; for a line that is known the batch
+adds a hit, which says what it changes. The batch then is a run of level 0. When a level
+has ``fanout`` runs, they are compacted into one of the next level, hits of lines that became new in
+one of them folded in, so a store of n batches has O(log n) runs and a row is rewritten O(log n) times.
+
+Every run is a table in the shared folder: a lost executor loses nothing. Lines are
 summed up in each task before they are shuffled, so a line that a third of the documents hold is
-one row a task.
+one row a task, and what is known of it goes to its lines by salted keys. Texts are read twice: for their lines, and to be rewritten.
 
 Defined results: a null or empty text is one empty line; a line counts once in a document,
 however often it stands there; rows that share a doc_id are one document for counting, and each
@@ -26,7 +27,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import SPACES, ascii_lower, materialize, row_key, text_or_empty
+from brindle.llm.common import SPACES, ascii_lower, bucketed, join_hot, materialize, row_key, salts, text_or_empty
 
 HASH = ["h1", "h2"]
 
@@ -43,9 +44,16 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return keys.select("doc_id", "_row", "n", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"))
 
 
+def line_sums(lines: DataFrame, batch) -> DataFrame:
+    """What each batch (a Column of the document's id) knows of each line: batch, h1, h2, n_docs, last_doc, _salts."""
+    each = lines.groupBy(*HASH, "doc_id").agg(salts("_row")).withColumn("batch", batch)
+    return each.groupBy(*HASH, "batch").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc"), F.bit_or("_salts").alias("_salts"))
+
+
 @dataclass
 class Run:
     level: int
+    #: h1, h2, n_docs, last_doc, _salts, is_new
     rows: DataFrame
 
 
@@ -58,34 +66,42 @@ class LineRuns:
     runs: list[Run] = field(default_factory=list)
 
     def _sorted_run(self, df: DataFrame, level: int) -> None:
-        self.runs.append(Run(level, materialize(df.sortWithinPartitions(*HASH), f"line-run-{level}")))
-
-    def add(self, docs: DataFrame, min_chars: int = 20) -> None:
-        """One batch: its line rows, merge-joined with the runs, as a new run."""
-        batch = _lines(docs, min_chars).groupBy(*HASH, "doc_id").agg(F.lit(1).alias("one"))
-        batch = batch.groupBy(*HASH).agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc"))
-        if self.runs:
-            seen = functools.reduce(DataFrame.unionByName, [r.rows.select(*HASH) for r in self.runs])
-            batch = batch.hint("merge").join(seen.distinct().withColumn("_seen", F.lit(True)), HASH, "left")
-            batch = batch.withColumn("is_new", F.col("_seen").isNull()).drop("_seen")
-        else:
-            batch = batch.withColumn("is_new", F.lit(True))
-        self._sorted_run(batch, 0)
+        self.runs.append(Run(level, bucketed(df, f"line_run_{level}", HASH)))
+
+    def add(self, batch: DataFrame) -> None:
+        """One batch (a row a line: h1, h2, n_docs, last_doc, _salts) as a new run."""
+        batch, known = batch.select(*HASH, "n_docs", "last_doc", "_salts"), []
+        for i, run in enumerate(self.runs):
+            mine = run.rows.where("is_new").select(*HASH, F.lit(True).alias(f"_in{i}"))
+            batch = batch.join(mine.hint("merge"), HASH, "left")
+            known.append(f"_in{i}")
+        is_new = F.coalesce(*known, F.lit(False)) == F.lit(False) if known else F.lit(True)
+        self._sorted_run(batch.withColumn("is_new", is_new).drop(*known), 0)
         level = 0
         while len(full := [r for r in self.runs if r.level == level]) >= self.fanout:
             self.runs = [r for r in self.runs if r.level != level]
-            self._sorted_run(self._merged(full), level + 1)
+            self._sorted_run(_added(functools.reduce(DataFrame.unionByName, [r.rows for r in full])), level + 1)
             level += 1
 
-    def _merged(self, runs: list[Run]) -> DataFrame:
-        rows = functools.reduce(DataFrame.unionByName, [r.rows for r in runs])
-        return rows.groupBy(*HASH).agg(
-            F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"), F.max("is_new").alias("is_new")
+    def lines(self) -> DataFrame:
+        """What is known of every line: h1, h2, n_docs, last_doc, _salts. Each stands as new in one run; hits are added to it."""
+        every = functools.reduce(DataFrame.unionByName, [r.rows for r in self.runs])
+        if len(self.runs) == 1:
+            return every.drop("is_new")
+        hits = _added(every.where(~F.col("is_new"))).select(*HASH, *(F.col(c).alias(f"_{c}") for c in ("n_docs", "last_doc", "_salts")))
+        both = every.where("is_new").join(hits.hint("merge"), HASH, "left")
+        return both.select(
+            *HASH,
+            (F.col("n_docs") + F.coalesce("_n_docs", F.lit(0))).alias("n_docs"),
+            F.greatest("last_doc", "_last_doc").alias("last_doc"),
+            F.col("_salts").bitwiseOR(F.coalesce("__salts", F.lit(0))).alias("_salts"),
         )
 
-    def lines(self) -> DataFrame:
-        """What is known of every line: h1, h2, n_docs, last_doc."""
-        return (self._merged(self.runs) if len(self.runs) > 1 else self.runs[0].rows).drop("is_new")
+
+def _added(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*HASH).agg(
+        F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"), F.bit_or("_salts").alias("_salts"), F.max("is_new").alias("is_new")
+    )
 
 
 def drop_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 4) -> DataFrame:
@@ -95,18 +111,14 @@ def drop_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches:
     after the other; the result doesn't depend on it.
     """
     docs = docs.drop("_row", "_gone")
+    held = materialize(_lines(docs, min_chars), "lines")
+    sums = bucketed(line_sums(held, F.pmod(F.xxhash64("doc_id"), F.lit(batches))), "line_sums", HASH)
     runs = LineRuns(docs.sparkSession, fanout)
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(batches))
     for i in range(batches):
-        runs.add(docs.where(part == i) if batches > 1 else docs, min_chars)
-    common = runs.lines().where(F.col("n_docs") >= min_docs)
-    gone = (
-        _lines(docs, min_chars)
-        .join(common, HASH)
-        .where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
-        .groupBy("_row")
-        .agg(F.collect_set("n").alias("_gone"))
-    )
+        runs.add(sums.where(F.col("batch") == i))
+    common = runs.lines().where(F.col("n_docs") >= min_docs).drop("n_docs")
+    gone = join_hot(held, materialize(common, "common-lines"), HASH, "_row").where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
+    gone = gone.groupBy("_row").agg(F.collect_set("n").alias("_gone"))
     lines = F.split(text_or_empty(), "\n", -1)
     marked = docs.withColumn("_row", row_key()).join(gone, "_row", "left")
     kept = F.filter(lines, lambda line, i: ~F.array_contains("_gone", i))
