@@ -1,4 +1,7 @@
-"""Content-addressed blobs: chunks, hashes, reference counts, verified and ranged reads, collection of garbage."""
+"""Content-addressed blobs: chunks, hashes, reference counts, verified and ranged reads, collection of garbage.
+
+A blob is bytes: strings are taken as their UTF-8, sizes and offsets count bytes, and what is read back is binary.
+"""
 
 from __future__ import annotations
 
@@ -10,8 +13,18 @@ from brindle.functions.merkle import merkle_root
 NAMESPACE = r"^[\p{L}\p{N}._-]+$"
 
 
+def _bytes(data: str) -> Column:
+    return F.col(data).cast("binary")
+
+
+def _joined(parts: Column) -> Column:
+    """The bytes of an array of binaries put together."""
+    return F.unhex(F.array_join(F.transform(parts, F.hex), ""))
+
+
 def chunks(df: DataFrame, data: str, size: int) -> DataFrame:
     """df without data, exploded to chunk_no, chunk and its SHA-256; an empty value has one empty chunk."""
+    df = df.withColumn(data, F.coalesce(_bytes(data), F.lit(b"")))  # once, as a substring of bytes takes the same time anywhere
     n = F.greatest(F.lit(1), F.ceil(F.length(data) / F.lit(float(size)))).cast("int")
     parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col(data), i * size + 1, F.lit(size)))
     out = df.select(*[c for c in df.columns if c != data], F.posexplode(parts).alias("chunk_no", "chunk"))
@@ -24,7 +37,7 @@ def put(df: DataFrame, key: str, data: str, size: int) -> tuple[DataFrame, DataF
     listed = all_of.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("chunk_no", "hash"))).alias("c"), F.sum(F.length("chunk")).alias("size"))
     meta = listed.select(key, "size", F.transform("c", lambda x: x["hash"]).alias("chunk_hashes"))
     meta = meta.withColumn("merkle_root", merkle_root("chunk_hashes"))
-    meta = meta.join(df.select(key, F.sha2(data, 256).alias("content_hash")), key)
+    meta = meta.join(df.select(key, F.sha2(F.coalesce(_bytes(data), F.lit(b"")), 256).alias("content_hash")), key)
     return meta, all_of.groupBy("hash").agg(F.any_value("chunk").alias("chunk"))
 
 
@@ -38,14 +51,13 @@ def download(meta: DataFrame, store: DataFrame, key: str) -> DataFrame:
     at = meta.select(key, "content_hash", F.posexplode("chunk_hashes").alias("chunk_no", "hash")).join(store, "hash", "left")
     ok = F.coalesce(F.sha2("chunk", 256) == F.col("hash"), F.lit(False))
     whole = at.groupBy(key, "content_hash").agg(F.sort_array(F.collect_list(F.struct("chunk_no", "chunk"))).alias("c"), F.min(ok).alias("parts_ok"))
-    data = F.array_join(F.transform("c", lambda x: x["chunk"]), "")
-    whole = whole.withColumn("data", data)
+    whole = whole.withColumn("data", _joined(F.transform("c", lambda x: x["chunk"])))
     return whole.select(key, "data", (F.col("parts_ok") & (F.sha2("data", 256) == F.col("content_hash"))).alias("verified"))
 
 
 def read_range(df: DataFrame, data: str, offset: int, length: int) -> DataFrame:
     """df with part: so much from offset, as far as there is any; rows that end before offset have none and go."""
-    return df.where(F.length(data) > offset).withColumn("part", F.substring(data, offset + 1, length)).drop(data)
+    return df.withColumn(data, _bytes(data)).where(F.length(data) > offset).withColumn("part", F.substring(data, offset + 1, length)).drop(data)
 
 
 def read_chunk_range(meta: DataFrame, store: DataFrame, key: str, size: int, offset: int, length: int) -> DataFrame:
@@ -53,7 +65,7 @@ def read_chunk_range(meta: DataFrame, store: DataFrame, key: str, size: int, off
     first, last = offset // size, (offset + max(length, 1) - 1) // size
     need = meta.where(F.col("size") > offset).select(key, F.posexplode(F.slice("chunk_hashes", first + 1, last - first + 1)).alias("chunk_no", "hash"))
     got = need.join(store, "hash").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("chunk_no", "chunk"))).alias("c"))
-    return got.select(key, F.substring(F.array_join(F.transform("c", lambda x: x["chunk"]), ""), offset - first * size + 1, length).alias("part"))
+    return got.select(key, F.substring(_joined(F.transform("c", lambda x: x["chunk"])), offset - first * size + 1, length).alias("part"))
 
 
 def live(meta: DataFrame, as_of: Column, deleted: DataFrame | None = None, key: str = "id") -> DataFrame:
@@ -101,7 +113,7 @@ def multipart(parts: DataFrame, key: str) -> DataFrame:
     """key and data of uploads (key, part_no, data) put together in order; the last upload of a part counts."""
     last = parts.groupBy(key, "part_no").agg(F.max_by("data", "uploaded_at").alias("data"))
     whole = last.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("part_no", "data"))).alias("p"))
-    return whole.select(key, F.array_join(F.transform("p", lambda x: x["data"]), "").alias("data"))
+    return whole.select(key, _joined(F.transform("p", lambda x: x["data"].cast("binary"))).alias("data"))
 
 
 def listing(meta: DataFrame, key: str, offset: int, limit: int) -> DataFrame:

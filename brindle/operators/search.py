@@ -1,19 +1,22 @@
 """Full-text search: analysis, an index as tables, a query language, BM25, facets, pages and highlights.
 
-An index is three DataFrames: postings (field, term, doc_id, tf, positions), lengths (field, doc_id, len) and
-values (field, doc_id, value) of numeric and boolean fields. A query string is parsed to a small tree and
-compiled to joins and aggregates over them; scores are Column arithmetic. Where the query has literal terms,
-the filter on them reaches the postings' scan.
+An index is three DataFrames: postings (field, term, doc_id, tf, positions, len), lengths (field, doc_id, len) and
+values (field, doc_id, value) of numeric and boolean fields. Postings are made document by document, without a shuffle, and
+hold the length of the field, so a score needs no other table of documents. A query string is parsed to a small tree and
+compiled to joins and aggregates over them; scores are Column arithmetic. An IndexStore keeps indexes under names, with the postings
+in the order of their terms: where the query has literal terms, the filter on them skips most of the files.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from dataclasses import dataclass
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,19 +36,19 @@ STOP_WORDS = (
 
 # ---- analysis
 
-#: Words as runs of letters, digits, marks and underscores, joined by inner apostrophes or dots as Unicode's default word bounds do.
-WORD = re.compile(r"\w+(?:['’.:]\w+)*|[^\w\s]", re.UNICODE)
-TRIM = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Unicode's default word bounds.
+BOUND = regex.compile(r"(?V1w)\b")
+#: Fixed value: ASCII punctuation and blanks, which are taken off both ends of a segment.
+TRIM = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~ \t\n\r\x0b\x0c"
 
 
 def tokenize(text: str) -> list[tuple[str, int]]:
-    """(term, position) of the standard tokenizer: blank and single punctuation segments are no tokens."""
-    out: list[tuple[str, int]] = []
-    for m in WORD.finditer(unicodedata.normalize("NFC", text)):
-        term = m[0].strip(TRIM).lower()
-        if term and any(c.isalnum() for c in term):
-            out.append((term, len(out)))
-    return out
+    """(term, position) of the standard tokenizer: the segments between word bounds that are more than blanks and ASCII punctuation.
+
+    Other symbols (arrows, curly quotes, emoji) are tokens and have positions.
+    """
+    terms = (segment.strip().strip(TRIM).lower() for segment in BOUND.split(unicodedata.normalize("NFC", text)))
+    return [(t, i) for i, t in enumerate(filter(None, terms))]
 
 
 _stem = lru_cache(200_000)(stem)
@@ -66,6 +69,30 @@ def analyzed(texts):
     return texts.map(lambda s: [] if s is None else [{"term": t, "pos": i} for t, i in analyze(s)])
 
 
+POSTINGS = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.LongType()), T.StructField("positions", T.ArrayType(T.IntegerType()))]))
+
+
+@F.pandas_udf(POSTINGS)
+def analyzed_postings(texts):
+    """Terms, frequencies and positions of a text column, in Arrow batches."""
+
+    def of(text):
+        at: dict[str, list[int]] = {}
+        for t, i in analyze(text) if text is not None else ():
+            at.setdefault(t, []).append(i)
+        return [{"term": t, "tf": len(p), "positions": p} for t, p in at.items()]
+
+    return texts.map(of)
+
+
+def term_counts(tokens: Column) -> Column:
+    """(term, tf) of an array of tokens, in the order of the terms: counted within the row, so nothing is shuffled for it."""
+    s = F.array_sort(tokens)
+    first = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.element_at(s, i) != F.element_at(s, F.greatest(i - 1, F.lit(1)))))
+    entry = lambda i, k: F.struct(F.element_at(s, i).alias("term"), (F.coalesce(F.get(first, k + 1), F.size(s) + 1) - i).cast("long").alias("tf"))
+    return F.when(F.size(s) > 0, F.transform(first, entry)).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))
+
+
 def whitespace_tokens(c: Column) -> Column:
     """The whitespace tokenizer, in builtins."""
     return F.filter(F.split(F.lower(c), r"\s+"), lambda x: x != "")
@@ -111,16 +138,55 @@ def build(docs: DataFrame, text: list[str], values: list[str] | None = None, boo
     """An index of docs (doc_id and the named columns), one document a row."""
     values = values or []
     fields = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("text")) for f in text]))
-    tokens = docs.select("doc_id", fields.alias("f")).select("doc_id", "f.field", analyzed("f.text").alias("t"))
-    lengths = tokens.where(F.size("t") > 0).select("field", "doc_id", F.size("t").alias("len"))
-    each = tokens.select("field", "doc_id", F.explode("t").alias("t")).select("field", "t.term", "doc_id", "t.pos")
-    postings = each.groupBy("field", "term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    held = docs.select("doc_id", fields.alias("f")).select("doc_id", "f.field", analyzed_postings("f.text").alias("p")).where(F.size("p") > 0)
+    held = held.withColumn("len", F.aggregate("p", F.lit(0).cast("long"), lambda n, x: n + x["tf"]))
+    lengths = held.select("field", "doc_id", "len")
+    postings = held.select("field", "doc_id", "len", F.explode("p").alias("p")).select("field", "p.term", "doc_id", "p.tf", "p.positions", "len")
     rows = [F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in values]
     none = docs.sparkSession.createDataFrame([], "field string, doc_id long, value string")
     held = docs.select(F.explode(F.array(*rows)).alias("v"), "doc_id").select("v.field", "doc_id", "v.value").where("value IS NOT NULL") if rows else none
     return Index(docs.select("doc_id"), postings, lengths, held, boosts or {})
 
 
+class IndexStore:
+    """Indexes by name, in a folder that the cluster shares."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _fs(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def names(self) -> list[str]:
+        fs, p = self._fs(self.path)
+        return sorted(s.getPath().getName() for s in fs.listStatus(p) if fs.exists(self._fs(f"{self.path}/{s.getPath().getName()}/boosts")[1])) if fs.exists(p) else []
+
+    def save(self, name: str, index: Index) -> Index:
+        """Writes an index, postings range-partitioned and sorted by field and term; the boosts come last and make it whole."""
+        if name in self.names():
+            raise ValueError(f"index {name} exists")
+        order = ["field", "term", "doc_id"]
+        index.postings.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{self.path}/{name}/postings")
+        for part in ("docs", "lengths", "values"):
+            getattr(index, part).write.mode("overwrite").parquet(f"{self.path}/{name}/{part}")
+        self.spark.createDataFrame([(json.dumps(index.boosts),)], "boosts string").coalesce(1).write.mode("overwrite").text(f"{self.path}/{name}/boosts")
+        return self.open(name)
+
+    def open(self, name: str) -> Index:
+        if name not in self.names():
+            raise ValueError(f"no index {name}")
+        part = lambda x: self.spark.read.parquet(f"{self.path}/{name}/{x}")
+        boosts = json.loads(self.spark.read.text(f"{self.path}/{name}/boosts").head()[0])
+        return Index(part("docs"), part("postings"), part("lengths"), part("values"), boosts)
+
+    def drop(self, name: str) -> None:
+        if name not in self.names():
+            raise ValueError(f"no index {name}")
+        fs, p = self._fs(f"{self.path}/{name}")
+        fs.delete(p, True)
+
+
 def bm25(tf, length, average, n, df) -> Column:
     """The score of a term in a field; columns or their names. Without an average length, the length counts for nothing."""
     tf, length, average, n, df = (F.col(x) if isinstance(x, str) else x for x in (tf, length, average, n, df))
@@ -263,6 +329,8 @@ def _unary(tokens: list[dict], i: int) -> tuple[object, int]:
         return Between(field, t.get("lo", t.get("lo2")), t.get("hi", t.get("hi2")), "square" in t), i + 1
     if word is None:
         raise QueryError("an operand is missing")
+    if word[0] in "[{" or word[-1] in "]}":
+        raise QueryError(f"not a range: {word}")
     if word in ("*", "*:*"):
         return All(), i + 1
     if m := re.fullmatch(r"(.+)~(\d*)", word):
@@ -290,7 +358,7 @@ def _scored(index: Index, hits: DataFrame) -> DataFrame:
     n = index.docs.agg(F.count(F.lit(1)).alias("n"))
     average = index.lengths.groupBy("field").agg(F.avg("len").alias("average"))
     df = hits.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
-    rows = hits.join(df, ["field", "term"]).join(index.lengths, ["field", "doc_id"]).join(F.broadcast(average), "field").crossJoin(F.broadcast(n))
+    rows = hits.join(df, ["field", "term"]).join(F.broadcast(average), "field").crossJoin(F.broadcast(n))
     return rows.groupBy("doc_id").agg(F.sum(_weighted(index, bm25("tf", "len", "average", "n", "df"))).alias("score"))
 
 
@@ -309,7 +377,7 @@ def _phrase(index: Index, q: Phrase) -> DataFrame:
         return index.docs.limit(0).withColumn("score", F.lit(0.0))
     first = terms[0][1]
     rows = _in_field(index.postings, q.field).where(F.col("term").isin(*{t for t, _ in terms}))
-    per = rows.groupBy("field", "doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"), F.collect_list(F.struct("term", "tf")).alias("tfs"))
+    per = rows.groupBy("field", "doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"), F.collect_list(F.struct("term", "tf")).alias("tfs"), F.max("len").alias("len"))
     starts = None
     for t, i in terms:
         back = F.lit(i - first)
@@ -317,10 +385,10 @@ def _phrase(index: Index, q: Phrase) -> DataFrame:
         starts = here if starts is None else F.array_intersect(starts, here)
     tf_of = F.map_from_entries("tfs")
     total = sum((F.coalesce(F.try_element_at(tf_of, F.lit(t)), F.lit(0)) for t, _ in terms), F.lit(0))
-    found = per.where(F.size(starts) > 0).select("field", "doc_id", total.alias("tf"))
+    found = per.where(F.size(starts) > 0).select("field", "doc_id", "len", total.alias("tf"))
     n = index.docs.agg(F.count(F.lit(1)).alias("n"))
     average = index.lengths.groupBy("field").agg(F.avg("len").alias("average"))
-    found = found.join(index.lengths, ["field", "doc_id"]).join(F.broadcast(average), "field").crossJoin(F.broadcast(n))
+    found = found.join(F.broadcast(average), "field").crossJoin(F.broadcast(n))
     return found.groupBy("doc_id").agg(F.sum(_weighted(index, bm25("tf", "len", "average", "n", F.lit(1)))).alias("score"))
 
 
@@ -343,7 +411,9 @@ def evaluate(index: Index, q: object) -> DataFrame:
     if isinstance(q, Prefix):
         return _scored(index, _in_field(index.postings, q.field).where(F.col("term").startswith(_query_term(q.text))))
     if isinstance(q, Fuzzy):
-        close = F.levenshtein("term", F.lit(_query_term(q.text)), q.distance) >= 0
+        word = _query_term(q.text)
+        # Lengths that differ by more can't be that close; telling so costs less.
+        close = F.length("term").between(len(word) - q.distance, len(word) + q.distance) & (F.levenshtein("term", F.lit(word), q.distance) >= 0)
         return _scored(index, _in_field(index.postings, q.field).where(close))
     if isinstance(q, Phrase):
         return _phrase(index, q)

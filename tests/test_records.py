@@ -175,15 +175,15 @@ def test_blobs(spark):
     df = spark.createDataFrame(list(texts.items()), "id int, data string")
     meta, store = blobs.put(df, "id", "data", 4)
     got = {r.id: r for r in blobs.download(meta, store, "id").collect()}
-    assert {i: r.data for i, r in got.items()} == texts and all(r.verified for r in got.values())
-    broken = store.withColumn("chunk", F.when(F.col("chunk") == "efgh", "EFGH").otherwise(F.col("chunk")))
+    assert {i: r.data.decode() for i, r in got.items()} == texts and all(r.verified for r in got.values())
+    broken = store.withColumn("chunk", F.when(F.col("chunk") == b"efgh", F.lit(b"EFGH")).otherwise(F.col("chunk")))
     assert {r.id for r in blobs.download(meta, broken, "id").where("NOT verified").collect()} == {1, 2}
     refs = {r.hash: r.refs for r in blobs.reference_counts(meta).collect()}
     assert refs[hashlib.sha256(b"abcd").hexdigest()] == 4
-    assert {r.id: r.part for r in blobs.read_chunk_range(meta, store, "id", 4, 3, 4).collect()} == {1: "defg", 2: "defg", 4: "dxxx"}
-    assert {r.id: r.part for r in blobs.read_range(df, "data", 8, 10).collect()} == {1: "ij", 4: "abcd"}
+    assert {r.id: bytes(r.part) for r in blobs.read_chunk_range(meta, store, "id", 4, 3, 4).collect()} == {1: b"defg", 2: b"defg", 4: b"dxxx"}
+    assert {r.id: bytes(r.part) for r in blobs.read_range(df, "data", 8, 10).collect()} == {1: b"ij", 4: b"abcd"}
     left = blobs.live(meta, F.lit(None).cast("timestamp"), spark.createDataFrame([(4,)], "id int"))
-    assert [r.chunk for r in blobs.garbage(store, left, F.current_timestamp()).collect()] == ["xxxx"]
+    assert [bytes(r.chunk) for r in blobs.garbage(store, left, F.current_timestamp()).collect()] == [b"xxxx"]
     s = blobs.dedup_stats(blobs.chunks(df, "data", 4)).head()
     assert (s.chunks, s.unique_chunks, s.saved) == (9, 5, 16)
     used = blobs.usage(spark.createDataFrame([("a", 5), ("a", 6), ("b", 1)], "namespace string, size int"))
@@ -192,7 +192,22 @@ def test_blobs(spark):
     names = spark.createDataFrame([("ok-1.x",), ("a/b",), ("a..b",), ("",), (None,)], "n string")
     assert [r[0] for r in names.select(blobs.valid_namespace(F.col("n"))).collect()] == [True, False, False, False, False]
     parts = spark.createDataFrame([(1, 2, "b", 1), (1, 1, "x", 1), (1, 1, "a", 2)], "id int, part_no int, data string, uploaded_at int")
-    assert blobs.multipart(parts, "id").head().data == "ab"
+    assert bytes(blobs.multipart(parts, "id").head().data) == b"ab"
+
+
+def test_blobs_are_bytes(spark):
+    """Not UTF-8, characters of several bytes across a chunk's end, and nothing at all."""
+    raw = {1: bytes(range(256)) * 3, 2: "äöü→日本".encode(), 3: b"", 4: b"\xff\xfe\x00"}
+    df = spark.createDataFrame([(i, bytearray(x)) for i, x in raw.items()], "id int, data binary")
+    meta, store = blobs.put(df, "id", "data", 5)
+    got = {r.id: (bytes(r.data), r.verified) for r in blobs.download(meta, store, "id").collect()}
+    assert got == {i: (x, True) for i, x in raw.items()}
+    assert {r.id: r.size for r in meta.collect()} == {i: len(x) for i, x in raw.items()}
+    for at, n in ((0, 3), (4, 2), (7, 300), (255, 1)):
+        parts = {r.id: bytes(r.part) for r in blobs.read_chunk_range(meta, store, "id", 5, at, n).collect()}
+        assert parts == {i: x[at : at + n] for i, x in raw.items() if len(x) > at}
+    text = spark.createDataFrame([(1, "äöü")], "id int, data string")
+    assert [bytes(r.chunk) for r in blobs.chunks(text, "data", 3).orderBy("chunk_no").collect()] == ["äöü".encode()[:3], "äöü".encode()[3:]]
 
 
 # ---- tables of keys

@@ -1,6 +1,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from brindle.operators import search as S
 
@@ -34,7 +35,7 @@ def test_other_queries(index):
     assert ids(index, '"apple pie"') == [1] and ids(index, '"pie apple"') == []
     assert ids(index, '"juice is good"') == [2]  # the stop word leaves its place open
     assert ids(index, "price:[3 TO 5]") == [1, 2] and ids(index, "price:{3 TO 7}") == [2]
-    for bad in ("(apple", "apple)", "AND", "[1 TO 2]"):
+    for bad in ("(apple", "apple)", "AND", "[1 TO 2]", "title:[1 TO", "price:{3 TO", "price:3]"):
         with pytest.raises(S.QueryError):
             S.parse(bad)
 
@@ -86,3 +87,27 @@ def test_highlight(spark):
     assert only.startswith("...") and only.endswith("...") and "**needle**" in only
     df = spark.createDataFrame([("red fox",), (None,)], "t string")
     assert [r.snippets for r in S.with_highlights(df, "t", "fox AND red").collect()] == [["**red** **fox**"], []]
+
+
+def test_symbols_have_positions():
+    """Unicode's default word bounds; other symbols than ASCII punctuation are tokens."""
+    assert S.tokenize("a “b” → c.d 3.14 x.1") == [(t, i) for i, t in enumerate(["a", "“", "b", "”", "→", "c.d", "3.14", "x", "1"])]
+    assert [t for t, _ in S.tokenize("日本語 テキスト e-mail")] == ["日", "本", "語", "テキスト", "e", "mail"]
+
+
+def test_stored_indexes(spark, index, tmp_path):
+    store = S.IndexStore(spark, f"file://{tmp_path}/indexes")
+    assert store.names() == []
+    kept = store.save("fruit", index)
+    assert store.names() == ["fruit"] and ids(kept, "apple OR pie") == ids(index, "apple OR pie")
+    assert ids(store.open("fruit"), '"apple pie"') == [1] and ids(store.open("fruit"), "price:[3 TO 5]") == [1, 2]
+    with pytest.raises(ValueError):
+        store.save("fruit", index)
+    store.drop("fruit")
+    with pytest.raises(ValueError):
+        store.open("fruit")
+
+
+def test_terms_are_counted_within_the_row(spark):
+    df = spark.createDataFrame([(["b", "a", "b"],), ([],)], "t array<string>").select(S.term_counts(F.col("t")).alias("x"))
+    assert [[tuple(y) for y in r.x] for r in df.collect()] == [[("a", 1), ("b", 2)], []]
