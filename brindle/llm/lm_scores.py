@@ -10,8 +10,10 @@ Steps, all over the whole corpus:
 1. words of the training documents are counted (summed in each task, then by word);
 2. every text becomes an array of 16-bit symbols; words outside the ``dictionary`` most frequent
    ones, which all executors get, are joined with their counts by a shuffle;
-3. a start is trained on ``warm_docs`` documents, a bounded sample; then every task trains on all
-   the training documents of its partition from there, and the models are averaged by their tokens;
+3. a start is trained on ``warm_docs`` documents (of ``warm_bytes`` at most), a bounded sample; then the training
+   documents are dealt by a hash into parts of about ``part_tokens``, each in the order of that hash, every task trains on
+   all of its part from there, and the models are averaged by their tokens: the scores depend on the documents alone, not
+   on how they are stored or on the cluster;
 4. the normaliser of every pair of context symbols comes from batched matrix products, so each
    token's log-probability is exact and costs one look-up.
 
@@ -42,8 +44,12 @@ class Shape:
     noise: int = 32
     batch: int = 4096
     dictionary: int = 200_000
+    #: Longer words (bytes) are not in the dictionary but looked up by the shuffle, so its size is bounded.
+    longest: int = 200
     warm_docs: int = 2000
+    warm_bytes: int = 32_000_000
     warm_epochs: int = 4
+    part_tokens: int = 2_000_000
 
     @property
     def symbols(self) -> int:
@@ -211,8 +217,8 @@ def _symbols(docs: DataFrame, vocabulary) -> DataFrame:
     return docs.mapInArrow(run, ", ".join(keep) + ", symbols binary, n_tokens long, n_known long, log_counts double, within double, rare array<binary>")
 
 
-def _trained(rows: DataFrame, model: LogBilinear, rate: float, parts: int = 32) -> np.ndarray:
-    """The mean of the models that the partitions of rows (symbols) end with, weighted by tokens."""
+def _trained(rows: DataFrame, model: LogBilinear, rate: float, tokens: int, adders: int = 32) -> np.ndarray:
+    """The mean of the models that parts of rows (symbols, o) of about part_tokens end with, weighted by tokens."""
     import pyarrow as pa
 
     start = rows.sparkSession.sparkContext.broadcast((model.shape, model.unigram, model.flat(), model.steps))
@@ -248,7 +254,9 @@ def _trained(rows: DataFrame, model: LogBilinear, rate: float, parts: int = 32)
             yield _model_row(total.tobytes(), n)
 
     kind = "model binary, n long"
-    sums = rows.select("symbols").mapInArrow(run, kind).repartition(parts).mapInArrow(add, kind).collect()  # parts rows at most
+    parts = -(-tokens // model.shape.part_tokens)
+    dealt = rows.select("symbols", "o").repartition(parts, "o").sortWithinPartitions("o", "symbols")
+    sums = dealt.select("symbols").mapInArrow(run, kind).repartition(adders).mapInArrow(add, kind).collect()  # adders rows at most
     if not sums:
         return model.flat()
     return sum(np.frombuffer(r.model) for r in sums) / sum(r.n for r in sums)
@@ -308,6 +316,37 @@ def most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
     return sorted(zip(map(bytes, table.column("word").to_pylist()), table.column("c").to_pylist()), key=lambda x: (-x[1], x[0]))
 
 
+def _warm(learn: DataFrame, docs: int, shape: Shape) -> np.ndarray:
+    """The symbols of the documents with the smallest hashes o, equal rows once: warm_docs and warm_bytes of them at most."""
+    # The hash is uniform, so a bound on it leaves about twice as many rows as wanted, whatever the number of partitions.
+    share = min(1.0, 2 * (shape.warm_docs + 100) / max(docs, 1))
+    below = F.col("o") <= F.lit(int(-(1 << 63) + share * ((1 << 64) - 1)) if share < 1 else (1 << 63) - 1)
+    sizes = learn.where(below).groupBy("o").agg(F.max(F.length("symbols")).alias("size")).collect()
+    total, last = 0, None
+    for r in sorted(sizes)[: shape.warm_docs]:
+        total += r["size"]
+        if total > shape.warm_bytes:
+            break
+        last = r.o
+    if last is None:
+        return np.empty(0, np.int64)
+    rows = learn.where(F.col("o") <= last).groupBy("o").agg(F.max("symbols").alias("symbols")).collect()
+    return np.frombuffer(b"".join(bytes(r.symbols) for r in sorted(rows)), np.uint16).astype(np.int64)
+
+
+def _fitted(learn: DataFrame, vocabulary: Vocabulary, rate: float) -> LogBilinear:
+    """The model trained on learn (doc_id, symbols)."""
+    shape = vocabulary.shape
+    model = LogBilinear(shape, vocabulary.unigram)
+    learn = learn.select("symbols", F.xxhash64(F.col("doc_id").cast("string"), "symbols").alias("o"))
+    warm = _warm(learn, vocabulary.ends, shape)
+    for i in range(shape.warm_epochs if len(warm) else 0):
+        model.train(warm, rate, np.random.default_rng(i))
+    if vocabulary.ends:
+        model.load(_trained(learn, model, rate / 2, vocabulary.n))
+    return model
+
+
 def score(docs: DataFrame, held_out, shape: Shape = Shape(), rate: float = 0.1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of docs (doc_id, text).
 
@@ -323,24 +362,18 @@ def score(docs: DataFrame, held_out, shape: Shape = Shape(), rate: float = 0.1)
     ends = training.select("doc_id").count()
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).head()
     n, v = n + ends, v + (ends > 0)
-    top = most_frequent(counts, shape.dictionary)
+    too_long = F.length("word") > shape.longest
+    top = most_frequent(counts.where(~too_long), shape.dictionary)
     cut = top[: shape.frequent]
     # The frequent words are the first in that order; all others are in buckets.
-    in_bucket = counts.where((F.col("c") < cut[-1][1]) | ((F.col("c") == cut[-1][1]) & (F.col("word") > F.lit(cut[-1][0])))) if cut else counts
+    in_bucket = counts.where((F.col("c") < cut[-1][1]) | ((F.col("c") == cut[-1][1]) & (F.col("word") > F.lit(cut[-1][0]))) | too_long) if cut else counts
     of = F.pmod(F.crc32(F.substring("word", -2, 2)), F.lit(shape.buckets)).cast("int")
     sums = {r.b: (r.n, r.v) for r in in_bucket.groupBy(of.alias("b")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
     vocabulary = Vocabulary(shape, top, sums, n, v, ends)
     shared = spark.sparkContext.broadcast(vocabulary)
     rows = materialize(_symbols(docs, shared).withColumn("_row", F.expr("uuid()")), "symbols")
 
-    model = LogBilinear(shape, vocabulary.unigram)
-    learn = rows.where(~F.col("held_out"))
-    warm = learn.select("symbols", F.xxhash64("doc_id").alias("o"), "doc_id").orderBy("o", "doc_id").limit(shape.warm_docs).select("symbols").collect()
-    if warm:
-        s = np.frombuffer(b"".join(bytes(r.symbols) for r in warm), np.uint16).astype(np.int64)
-        for i in range(shape.warm_epochs):
-            model.train(s, rate, np.random.default_rng(i))
-        model.load(_trained(learn, model, rate / 2))
+    model = _fitted(rows.where(~F.col("held_out")), vocabulary, rate)
 
     known = counts.select("word", F.log10(F.col("c") + F.lit(1.0)).alias("l"))
     rare = rows.select("_row", F.explode("rare").alias("word")).join(known, "word").groupBy("_row").agg(F.sum("l").alias("l"), F.count(F.lit(1)).alias("k"))
