@@ -85,12 +85,20 @@ def analyzed_postings(texts):
     return texts.map(of)
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once however often body and its lambdas use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def term_counts(tokens: Column) -> Column:
     """(term, tf) of an array of tokens, in the order of the terms: counted within the row, so nothing is shuffled for it."""
-    s = F.array_sort(tokens)
-    first = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.element_at(s, i) != F.element_at(s, F.greatest(i - 1, F.lit(1)))))
-    entry = lambda i, k: F.struct(F.element_at(s, i).alias("term"), (F.coalesce(F.get(first, k + 1), F.size(s) + 1) - i).cast("long").alias("tf"))
-    return F.when(F.size(s) > 0, F.transform(first, entry)).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))
+
+    def counted(s: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.element_at(s, i) != F.element_at(s, F.greatest(i - 1, F.lit(1)))))
+        return _let(first, lambda at: F.transform(at, lambda i, k: F.struct(F.element_at(s, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s) + 1) - i).cast("long").alias("tf"))))
+
+    none = F.array().cast("array<struct<term:string,tf:bigint>>")
+    return F.when(F.size(tokens) > 0, _let(F.array_sort(tokens), counted)).otherwise(none)
 
 
 def whitespace_tokens(c: Column) -> Column:
