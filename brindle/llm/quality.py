@@ -1,18 +1,16 @@
 """Quality rules from line frequencies across documents, in DataFrame functions only.
 
 Lines are normalised (stripped, A-Z lower-cased, digits to 0) and hashed; for each host the
-distinct documents that hold a line are counted, copies of a text as one. A line is frequent if more
-than ``limit`` of them and more than ``percent`` per cent of the host's distinct documents hold it. Frequent lines
+distinct documents that hold a line are counted, copies of a text as one, so copies of a clean page don't condemn each other. A line
+is frequent if more than ``limit`` of them and more than ``percent`` per cent of the host's distinct documents
+hold it: a share, so a page's verdict doesn't depend on the size of its host. Frequent lines
 are removed, and a document of which fewer than ``min_words`` words are left is rejected as
 depleted. Documents that fail the base rules are rejected before that. judge() counts the words of such
 lines for the verdict; keep_good() gives the texts without them.
 
-The pipeline judges by share (more than FEW documents and PERCENT per cent), so a page's verdict doesn't
-depend on the size of its host. The verdict of op8_quality_rules is laid down in ORACLE: more than 200, no share.
-
 A line that a third of the documents hold is first reduced to one row a text, then summed in
-each task, so no task gets all of it; the lines themselves never leave a task as text. What is removed is
-joined by document and line number.
+each task, and the list of frequent lines goes to the lines by salted keys, so no task gets all of it; the lines themselves
+never leave a task as text. What is removed is joined by document and line number.
 
 Defined results: a null text has no words and fails; repeated rows get the same verdict; null
 hosts form one host; an empty table gives an empty one; other columns pass through unless the
@@ -24,10 +22,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import SPACES, ascii_lower, materialize, row_key, text_or_empty, words
+from brindle.llm.common import SPACES, ascii_lower, join_hot, materialize, row_key, salts, text_or_empty, words
 
 SYMBOLS = "#*$%&|<>"
-#: What makes a line frequent in the pipeline.
+#: What makes a line frequent: more than so many documents of its host, and than so many per cent of them.
 FEW, PERCENT = 4, 5
 
 
@@ -75,10 +73,10 @@ def base_measures(docs: DataFrame, window: int = 5, min_words: int = 10, repeat_
 
 def _key(host: str) -> Column:
     """As row_key(), but rows that differ in their host alone have other frequent lines."""
-    return F.xxhash64(row_key(), F.col(host))
+    return row_key("doc_id", "text", host)
 
 
-def frequent_lines(docs: DataFrame, host: str = "source", limit: int = 200, percent: int = 0) -> DataFrame:
+def frequent_lines(docs: DataFrame, host: str = "source", limit: int = FEW, percent: int = PERCENT) -> DataFrame:
     """_row, n_frequent_words and _gone (line numbers from 0), of documents with lines that more than limit different texts of their host, and percent of them, hold."""
     lines = docs.select(_key(host).alias("_row"), F.xxhash64(text_or_empty()).alias("_text"), F.xxhash64(host).alias("_host"), text_or_empty().alias("_t"))
     texts = lines.groupBy("_host", "_text").agg(F.lit(1).alias("one")).groupBy("_host").agg(F.count(F.lit(1)).alias("_of"))
@@ -92,13 +90,13 @@ def frequent_lines(docs: DataFrame, host: str = "source", limit: int = 200, perc
         F.xxhash64("_host", F.translate(ascii_lower(bare), "123456789", "000000000")).alias("_h"),
         F.size(words(F.col("_line"))).alias("_n"),
     ).where(F.col("_n") > 0)
-    common = lines.groupBy("_h", "_host", "_text").agg(F.lit(1).alias("one")).groupBy("_h", "_host").agg(F.count(F.lit(1)).alias("n"))
+    lines = materialize(lines, "lines")  # hashes and numbers; the texts are read once for them
+    common = lines.groupBy("_h", "_host", "_text").agg(salts("_row")).groupBy("_h", "_host").agg(F.count(F.lit(1)).alias("n"), F.bit_or("_salts").alias("_salts"))
     common = common.where(F.col("n") > limit)
     if percent:
         common = common.join(texts, "_host").where(100 * F.col("n") > percent * F.col("_of"))
-    # Known before the lines are made again, so that a few of them are sent to the lines, not the lines to them.
-    common = materialize(common.select("_h"), "frequent-lines")
-    found = lines.select("_row", "_h", "_at", "_n").join(common, "_h", "left_semi").groupBy("_row", "_at").agg(F.first("_n").alias("_n"))
+    common = materialize(common.select("_h", "_salts"), "frequent-lines")
+    found = join_hot(lines.select("_row", "_h", "_at", "_n"), common, ["_h"], "_row").groupBy("_row", "_at").agg(F.first("_n").alias("_n"))
     return found.groupBy("_row").agg(F.sum("_n").alias("n_frequent_words"), F.collect_set("_at").alias("_gone"))
 
 
@@ -111,7 +109,7 @@ def _judged(docs: DataFrame, frequent: DataFrame, host: str, min_words: int) ->
     return out.withColumn("kept", ~F.col("base_failed") & ~depleted)
 
 
-def judge(docs: DataFrame, host: str = "source", limit: int = 200, min_words: int = 10, percent: int = 0) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", limit: int = FEW, min_words: int = 10, percent: int = PERCENT) -> DataFrame:
     """docs with the base measures, n_frequent_words and kept."""
     docs = docs.drop("_row", "n_frequent_words")
     return _judged(docs, frequent_lines(docs, host, limit, percent).drop("_gone"), host, min_words).drop("_row")
@@ -148,7 +146,9 @@ l AS (SELECT doc_id, source, t, unnest(ls) AS line FROM w),
 k AS (SELECT doc_id, source, t, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
   translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000') AS key FROM l),
-c AS (SELECT source, key FROM k WHERE n > 0 GROUP BY source, key HAVING count(DISTINCT t) > 200),
+s AS (SELECT source, count(DISTINCT t) AS texts FROM d GROUP BY source),
+c AS (SELECT k.source, key FROM k JOIN s ON k.source IS NOT DISTINCT FROM s.source WHERE n > 0 GROUP BY k.source, key, texts
+  HAVING count(DISTINCT t) > 4 AND 100 * count(DISTINCT t) > 5 * texts),
 q AS (SELECT k.doc_id, sum(n) AS n FROM k JOIN c ON k.key = c.key AND k.source IS NOT DISTINCT FROM c.source GROUP BY k.doc_id),
 m AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
   CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
