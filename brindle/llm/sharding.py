@@ -5,9 +5,11 @@ clockwise from its own. No shard takes more than (1 + slack) of the mean load: a
 its shard full continues clockwise to the next shard with room. Keys are the groups of equal
 texts, so copies lie together as long as their shard has room.
 
-Keys are counted by cells, equal arcs of the ring; a cell whose load is large is cut into
-sub-cells by the hash of the document's id. The table of cell loads has a bound that doesn't
-depend on the input (``cells`` plus ``split`` for each of the at most 8 * cells/split large ones),
+Keys are counted by cells, equal arcs of the ring. A cell whose load is large is cut into
+sub-cells by another hash of the text, and a text that is large by itself into parts by the hash of
+the document's id; its parts go to shards one by one only if the text has half of a shard's mean load or more, else they
+stay together. Large keys are placed first, while there is room, the others in the order of the ring. The table of cell loads has a bound that doesn't
+depend on the input (``cells``, plus ``split`` for each of the at most 8 * cells/split large cells and large texts),
 so it is gathered, the ring is walked on the driver, and the table of placements goes back to
 the documents as a broadcast of the same bound. A document's slot is the sum of the counts of the
 cells before its own in its shard plus its rank in its cell, so no shard is ever sorted as a whole.
@@ -77,21 +79,39 @@ def shard(
     ).withColumns(
         {
             "_cell": F.shiftrightunsigned("_key", 64 - bits).cast("int"),
-            "_salt": F.pmod(F.xxhash64(F.lit(3), F.col("doc_id"), "_key"), F.lit(split)).cast("int"),
+            "_salt": F.pmod(F.xxhash64(F.lit(3), F.coalesce(F.col("doc_id").cast("string"), F.monotonically_increasing_id().cast("string")), "_key"), F.lit(split)).cast("int"),
         }
     )
-    rows = materialize(rows, "shard-rows")  # no text any more; read three times from here
+    rows = materialize(rows, "shard-rows")  # no text any more; read four times from here
     whole = rows.groupBy("_cell").agg(F.sum("size").alias("load"))
     total = whole.agg(F.sum("load")).head()[0] or 0
-    # At most 8 * cells / split cells can have this load or more.
-    large = [r[0] for r in whole.where(F.col("load") >= total / (8 * cells / split)).select("_cell").collect()] if total else []
-    sub = F.when(F.col("_cell").isin(large), F.col("_salt")).otherwise(F.lit(0)) if large else F.lit(0)
+    # At most 8 * cells / split cells, and as many texts, can have this load or more.
+    is_large = F.col("load") >= total / (8 * cells / split)
+    large = [r[0] for r in whole.where(is_large).select("_cell").collect()] if total else []
+    sub, hot, loads = F.lit(0), [], {}
+    if large:
+        inside = F.col("_cell").isin(large)
+        texts = rows.where(inside).groupBy("_key").agg(F.sum("size").alias("load"), F.count(F.lit(1)).alias("n")).where(is_large & (F.col("n") > 1))
+        of_text = -1 - F.pmod(F.xxhash64(F.lit(5), "_key"), F.lit(split)).cast("int")
+        sub = F.when(inside, of_text).otherwise(sub)
+        loads = {r[0]: r[1] for r in texts.select("_key", "load").collect()}
+        if hot := sorted(loads):
+            number = F.array_position(F.array(*map(F.lit, hot)), F.col("_key")).cast("int")
+            sub = F.when(number > 0, number * split + F.col("_salt")).otherwise(sub)
     rows = rows.withColumn("_sub", sub)
     stats = rows.groupBy("_cell", "_sub").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("load"))
     table = sorted(tuple(r) for r in stats.select("_cell", "_sub", "n", "load").collect())
-    where = place(table, shards, nodes, slack, (1 << 64) // cells)
+    # The key that a sub-cell is placed with: a large text's parts have one if the text isn't too large.
+    together = {i for i, k in enumerate(hot, 1) if 2 * shards * loads[k] < total}
+    of_key: dict[tuple[int, int], int] = {}
+    for cell, s, _, load in table:
+        key = cell, s - s % split if s // split in together else s
+        of_key[key] = of_key.get(key, 0) + load
+    keys = sorted(((*k, 0, load) for k, load in of_key.items()), key=lambda k: (-k[3] if k[3] >= total / (8 * cells / split) else 0, k))
+    to_shard = {k[:2]: to for k, to in zip(keys, place(keys, shards, nodes, slack, (1 << 64) // cells))}
     filled, placed = [0] * shards, []
-    for (cell, s, n, _), to in zip(table, where):
+    for cell, s, n, _ in table:
+        to = to_shard[cell, s - s % split if s // split in together else s]
         placed.append((cell, s, to, filled[to]))
         filled[to] += n
     places = spark.createDataFrame(placed, "_cell int, _sub int, shard int, _before long")
