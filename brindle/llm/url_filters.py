@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import LOWER, UPPER, ascii_lower, materialize
+from brindle.llm.common import LOWER, UPPER, ascii_lower, join_hot, materialize, salts
 
 #: (verdict, host, path) of the query's rules.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -55,14 +55,14 @@ def _segments(path: Column, depth: int) -> Column:
 
 
 def templates(labelled: DataFrame, depth: int = 4, z: float = 1.96, prior: float = 8.0, threshold: float = 0.5) -> DataFrame:
-    """host, shape (a digit-free path), template, n_pages, n_labelled, n_bad, badness, rejected.
+    """host, shape (a digit-free path), _salts, template, n_pages, n_labelled, n_bad, badness, rejected.
 
-    labelled: host, path and bad (1 or 0; null where there is no label).
+    labelled: page_id, host, path and bad (1 or 0; null where there is no label).
     """
     leaf = (
-        labelled.select("host", F.array_join(_segments(F.col("path"), depth), "/").alias("shape"), "bad")
+        labelled.select("host", F.array_join(_segments(F.col("path"), depth), "/").alias("shape"), "bad", "page_id")
         .groupBy("host", "shape")
-        .agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("lab"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad"))
+        .agg(salts("page_id"), F.count(F.lit(1)).alias("n"), F.count("bad").alias("lab"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad"))
     )
     leaf = materialize(leaf, "url-shapes").withColumn("template", F.lit(""))
     counts = [F.sum(c).alias(c) for c in ("n", "lab", "bad")]
@@ -92,7 +92,7 @@ def templates(labelled: DataFrame, depth: int = 4, z: float = 1.96, prior: float
         .select("host", "template", F.col("n").alias("n_pages"), F.col("lab").alias("n_labelled"), F.col("bad").alias("n_bad"), "badness")
         .withColumn("rejected", F.col("badness") >= threshold)
     )
-    return leaf.select("host", "shape", "template").join(judged, ["host", "template"])
+    return leaf.select("host", "shape", "_salts", "template").join(judged, ["host", "template"])
 
 
 def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, depth: int = 4, **how) -> DataFrame:
@@ -103,8 +103,7 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, dep
     rule, said = rule_for(rules)
     own = F.when(F.col("rejected"), F.lit("block")).otherwise(F.lit("allow"))
     return (
-        pages.withColumn("shape", shape)
-        .join(known, ["host", "shape"], "left")
+        join_hot(pages.withColumn("shape", shape), known, ["host", "shape"], "page_id")
         .select("page_id", "host", "path", rule.alias("rule"), F.coalesce(said, own).alias("verdict"), "template", "n_pages", "n_labelled", "n_bad")
     )
 
@@ -119,7 +118,9 @@ def op5_url_filters(spark, sf_dir: str) -> DataFrame:
         .groupBy(F.col("doc_id").alias("_doc"))
         .agg(F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)).alias("bad"))
     )
-    return judge(pages.join(labels, "_doc", "left"))
+    # Urls without a number have no label; in the join they would all be one key.
+    without = pages.where(F.col("_doc").isNull()).withColumn("bad", F.lit(None).cast("int"))
+    return judge(pages.where(F.col("_doc").isNotNull()).join(labels, "_doc", "left").unionByName(without))
 
 
 def _oracle(depth: int = 4, z: float = 1.96, prior: float = 8.0, threshold: float = 0.5) -> str:
