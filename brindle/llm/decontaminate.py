@@ -1,20 +1,22 @@
 """Benchmark decontamination by SimHash of item-sized windows, in DataFrame functions only.
 
-A window of a document has as many words as the item it may leak. Windows and items get 64-bit
-SimHash fingerprints of their word shingles, each weighted by its multiplicity. Fingerprints are
-looked up by blocks: with radius + 1 blocks, two fingerprints within the radius agree in at least one
-block, so the lookup gives every item within the radius. What it gives is verified by the exact
-weighted Jaccard similarity of the shingles.
+A window of a document has as many words as the item it may leak. Windows and items get 256-bit
+SimHash fingerprints of their words, each weighted by its multiplicity. Fingerprints are
+looked up in a multi-index of 32 blocks of 8 bits: two fingerprints that differ in at most 31 bits agree in at least
+one block, so the lookup gives every item within that radius. It gives most of those beyond it, too: what is
+similar enough differs in 10 to 16 per cent of the bits, which leaves no block in common with a
+probability of 1e-4 or less, and what shares a block by chance mostly differs in more than ``reach`` bits. Candidates are verified by the exact
+weighted Jaccard similarity of their word shingles.
 
 Only windows that can reach the threshold are made. Such a window shares at least the threshold's
 part of an item's shingles, so positions are first joined with the items' shingles, and pairs of
 document and item with too few are dropped. The start that fits best lies between two
 neighbouring diagonals (position here less position there) of shared shingles: further out, moving
-closer loses no shared shingle. Nothing is lost by either step. At the threshold, fingerprints of 64
-bits differ in 11 bits on average, 3 being the standard deviation; the default radius of 28 is 5.6 of them.
+closer loses no shared shingle. Nothing is lost by either step. Which items a window is compared with is found by its
+fingerprint alone.
 
-The items' shingles and blocks go to the executors as a broadcast only while the benchmark is smaller
-than ``broadcast_items``, else they are joined by shuffles; so are the documents that have candidates.
+The items' shingles go to the executors as a broadcast only while there are at most ``broadcast_shingles`` of
+them (24 bytes each), else they are joined by a shuffle.
 
 Defined results: null or empty texts and items match nothing; a document shorter than an item is
 one window; items of fewer than ``k`` words are matched as one shingle of all their words; repeated
@@ -31,7 +33,8 @@ from pyspark.sql import functions as F
 
 from brindle.llm.common import materialize, row_key, words
 
-BITS, LANES = 64, 4
+#: Fingerprints are WORDS longs, looked up by blocks of BLOCK bits.
+WORDS, BLOCK = 4, 8
 
 
 def _grams(w: Column, k: int) -> Column:
@@ -40,66 +43,66 @@ def _grams(w: Column, k: int) -> Column:
     return F.when(n >= k, F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, k)))).otherwise(F.array().cast("array<bigint>"))
 
 
-def _maybe_broadcast(df: DataFrame, yes: bool) -> DataFrame:
-    return F.broadcast(df) if yes else df
+def fingerprints(df: DataFrame, keys: list[str], words_of: str) -> DataFrame:
+    """keys and fp (WORDS longs), the SimHash of the words in an array column, of each row of df.
 
+    A bit is set that is set in the hashes of more than half of the words. Counted within the row by a small expression: spelling
+    out the bits makes plans that the driver pays for.
+    """
+    hashes = [F.expr(f"transform({words_of}, x -> xxhash64({k}, x)) AS _h{k}") for k in range(WORDS)]
+    bit = "IF(2 * size(filter(_h{k}, x -> getbit(x, j) = 1)) > size(_h{k}), shiftleft(1L, j), 0L)"
+    longs = [f"aggregate(sequence(0, 63), 0L, (bits, j) -> bits | {bit.format(k=k)})" for k in range(WORDS)]
+    return df.select(*keys, *hashes).select(*keys, F.expr(f"array({', '.join(longs)}) AS fp"))
 
-def fingerprints(df: DataFrame, keys: list[str], grams: str) -> DataFrame:
-    """keys and fp, the SimHash of the array column grams, of each row of df; keys must be unique.
 
-    Four bits are counted in one long, 16 bits for each (so up to 65,535 shingles).
-    """
-    g = F.col("_x")
-    lanes = []
-    for j in range(0, BITS, LANES):
-        x = F.shiftrightunsigned(g, j).bitwiseAND(F.lit(15))
-        spread = functools.reduce(
-            lambda a, b: a.bitwiseOR(b), [F.shiftleft(x.bitwiseAND(F.lit(1 << i).cast("long")), 15 * i) for i in range(LANES)]
-        )
-        lanes.append(F.sum(spread).alias(f"_s{j}"))
-    sums = df.select(*keys, F.explode(grams).alias("_x")).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *lanes)
-    bit = lambda j, i: F.when(2 * F.shiftrightunsigned(F.col(f"_s{j}"), 16 * i).bitwiseAND(F.lit(0xFFFF)) > F.col("_n"), F.lit(1)).otherwise(F.lit(0))
-    all_bits = [F.shiftleft(bit(j, i).cast("long"), j + i) for j in range(0, BITS, LANES) for i in range(LANES)]
-    return sums.select(*keys, functools.reduce(lambda a, b: a.bitwiseOR(b), all_bits).alias("fp"))
-
-
-def _blocks(fp: str, radius: int) -> Column:
-    """An array of (block, value): radius + 1 blocks that cover all bits."""
-    n = radius + 1
-    cuts = [i * BITS // n for i in range(n + 1)]
-    return F.array(
-        *[
-            F.shiftrightunsigned(F.col(fp), lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).bitwiseOR(F.lit(i << 32))
-            for i, (lo, hi) in enumerate(zip(cuts, cuts[1:]))
-        ]
-    )
+def _blocks(fp: str) -> Column:
+    """An array of (block, value) as one number: blocks of BLOCK bits that cover all bits."""
+    per, every = 64 // BLOCK, (1 << BLOCK) - 1
+    value = f"shiftrightunsigned({fp}[n DIV {per}], CAST({BLOCK} * (n % {per}) AS INT)) & {every}L"
+    return F.expr(f"transform(sequence(0, {WORDS * per - 1}), n -> ({value}) | shiftleft(CAST(n AS BIGINT), {BLOCK}))")
+
+
+def _distance(a: str, b: str) -> Column:
+    return functools.reduce(lambda x, y: x + y, [F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(WORDS)])
 
 
 def _common(a: str, b: str) -> Column:
     """Sum of the smaller multiplicities of the values of two arrays."""
     count = lambda arr, x: F.size(F.filter(arr, lambda y: y == x))
-    return F.aggregate(F.array_distinct(b), F.lit(0), lambda s, x: s + F.least(count(F.col(a), x), count(F.col(b), x)))
+    once = (F.size(F.array_distinct(a)) == F.size(a)) & (F.size(F.array_distinct(b)) == F.size(b))
+    several = F.aggregate(F.array_distinct(b), F.lit(0), lambda s, x: s + F.least(count(F.col(a), x), count(F.col(b), x)))
+    return F.when(once, F.size(F.array_intersect(a, b))).otherwise(several)
 
 
-def matches(
-    docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 75, radius: int = 28, broadcast_items: int = 20_000, broadcast_docs: int = 200_000
-) -> DataFrame:
+def candidates(windows: DataFrame, items: DataFrame, reach: int = 90) -> DataFrame:
+    """_row, len, start, _item of windows (_row, len, start, w) and items (_item, len, w) whose fingerprints share a block and differ in at most reach bits."""
+    # Written once, as each fingerprint is looked up by all of its blocks.
+    index = materialize(fingerprints(items, ["_item", "len"], "w").withColumnRenamed("fp", "item_fp"), "item-fingerprints")
+    probe = materialize(fingerprints(windows, ["_row", "len", "start"], "w"), "fingerprints")
+    index, probe = index.withColumn("block", F.explode(_blocks("item_fp"))), probe.withColumn("block", F.explode(_blocks("fp")))
+    near = probe.join(index, ["len", "block"]).where(_distance("fp", "item_fp") <= reach)
+    return near.select("_row", "len", "start", "_item").distinct()
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 75, reach: int = 90, broadcast_shingles: int = 1_000_000) -> DataFrame:
     """_row, item_id, start (word, from 1), n_words, similarity of the verified windows of docs (doc_id, text)."""
     items = benchmark.where(F.col("text").isNotNull()).select(F.xxhash64("item_id", "text").alias("_item"), "item_id", words(F.lower("text")).alias("w"))
     items = items.withColumn("len", F.size("w")).where(F.col("len") > 0).withColumn("k", F.least(F.lit(k), F.col("len")))
     sizes = sorted(r[0] for r in items.select("k").distinct().collect())  # at most k numbers
     gram_of = functools.reduce(lambda e, s: F.when(F.col("k") == s, _grams(F.col("w"), s)).otherwise(e), sizes, F.array().cast("array<bigint>"))
-    items = materialize(items.select("_item", "item_id", "len", "k", gram_of.alias("ig")).dropDuplicates(["_item"]), "items")
-    small = items.count() <= broadcast_items
+    items = materialize(items.select("_item", "item_id", "len", "k", "w", gram_of.alias("ig")).dropDuplicates(["_item"]), "items")
+    small = (items.agg(F.sum(F.size("ig"))).head()[0] or 0) <= broadcast_shingles
     shingles = items.select("_item", "len", "k", F.posexplode("ig").alias("ipos", "g"))
 
     src = docs.select(row_key().alias("_row"), words(F.lower(F.coalesce("text", F.lit("")))).alias("w"))
     hits = []
     for s in sizes:
         at = src.select("_row", F.size("w").alias("n"), F.posexplode(_grams(F.col("w"), s)).alias("pos", "g"))
-        hits.append(at.join(_maybe_broadcast(shingles.where(F.col("k") == s).drop("k"), small), "g").withColumn("k", F.lit(s)))
+        of_items = shingles.where(F.col("k") == s).drop("k")
+        hits.append(at.join(F.broadcast(of_items) if small else of_items, "g").withColumn("k", F.lit(s)))
     if not hits:
-        return docs.sparkSession.createDataFrame([], "_row long, item_id long, start int, n_words int, similarity double")
+        item_id = dict(benchmark.dtypes)["item_id"]
+        return docs.sparkSession.createDataFrame([], f"_row struct<a:long,b:long>, item_id {item_id}, start int, n_words int, similarity double")
     hits = functools.reduce(DataFrame.unionByName, hits)
     per = hits.groupBy("_row", "_item", "len", "k", "n").agg(
         F.size(F.collect_set("ipos")).alias("found"), F.sort_array(F.collect_set(F.col("pos") - F.col("ipos"))).alias("diag")
@@ -109,21 +112,14 @@ def matches(
     inside = lambda d, i: F.sequence(d, F.least(F.coalesce(F.get("diag", i + 1), d), d + F.col("len")))
     starts = F.array_distinct(F.transform(F.flatten(F.transform("diag", inside)), lambda s: F.greatest(F.lit(0), F.least(s, F.col("n") - F.col("len")))))
     spots = per.select("_row", F.struct("len", "k", starts.alias("starts")).alias("spot")).groupBy("_row").agg(F.collect_set("spot").alias("spots"))
-    spots = materialize(spots, "spots")
-    few = spots.count() <= broadcast_docs
-    here = src.dropDuplicates(["_row"]) if not few else src
-    here = here.join(_maybe_broadcast(spots, few), "_row").select("_row", "w", F.explode("spots").alias("spot"))
+    # A table of known size: whether it is broadcast is left to Spark's own limit in bytes.
+    here = src.join(materialize(spots, "spots"), "_row").select("_row", "w", F.explode("spots").alias("spot"))
     here = here.select("_row", "w", F.col("spot.len").alias("len"), F.col("spot.k").alias("k"), F.explode("spot.starts").alias("start"))
     part = here.select("_row", "len", "k", "start", F.slice("w", F.col("start") + 1, F.col("len")).alias("w")).dropDuplicates(["_row", "len", "start"])
     wgram = functools.reduce(lambda e, s: F.when(F.col("k") == s, _grams(F.col("w"), s)).otherwise(e), sizes, F.array().cast("array<bigint>"))
-    windows = materialize(part.select("_row", "len", "start", wgram.alias("wg")), "windows")
-
-    index = fingerprints(items, ["_item"], "ig").join(items.select("_item", "len", "ig"), "_item").withColumnRenamed("fp", "item_fp")
-    index = index.withColumn("block", F.explode(_blocks("item_fp", radius)))
-    probe = fingerprints(windows, ["_row", "len", "start"], "wg").withColumn("block", F.explode(_blocks("fp", radius)))
-    near = probe.join(_maybe_broadcast(index.select("len", "block", "_item", "item_fp"), small), ["len", "block"])
-    near = near.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select("_row", "len", "start", "_item").distinct()
-    both = near.join(windows, ["_row", "len", "start"]).join(_maybe_broadcast(items.select("_item", "item_id", "ig"), small), "_item")
+    windows = materialize(part.select("_row", "len", "start", "w", wgram.alias("wg")), "windows")
+
+    both = candidates(windows, items, reach).join(windows.drop("w"), ["_row", "len", "start"]).join(items.select("_item", "item_id", "ig"), "_item")
     both = both.withColumn("same", _common("wg", "ig")).withColumn("all", F.size("wg") + F.size("ig") - F.col("same"))
     return both.where(100 * F.col("same") >= percent * F.col("all")).select(
         "_row", "item_id", (F.col("start") + 1).alias("start"), F.col("len").alias("n_words"), (F.col("same") / F.col("all")).alias("similarity")
@@ -132,23 +128,23 @@ def matches(
 
 def judge(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """doc_id, contaminated, n_items, item_id (the most similar; the smallest of equals) and similarity of each document."""
-    found = matches(docs, benchmark, **how).groupBy("_row").agg(
-        (F.countDistinct("item_id") + F.max(F.col("item_id").isNull().cast("int"))).alias("n_items"), F.max(F.struct("similarity", (-F.col("item_id")).alias("i"))).alias("best")
-    )
+    # The smallest of (-similarity, has no id, item_id), so ids may be of any type that has an order.
+    best = F.min(F.struct((-F.col("similarity")).alias("s"), F.col("item_id").isNull().alias("no_id"), "item_id")).alias("best")
+    found = matches(docs, benchmark, **how).groupBy("_row").agg((F.countDistinct("item_id") + F.max(F.col("item_id").isNull().cast("int"))).alias("n_items"), best)
     out = docs.select("doc_id", row_key().alias("_row")).join(found, "_row", "left")
     return out.select(
         "doc_id",
         F.col("best").isNotNull().alias("contaminated"),
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
-        (-F.col("best.i")).cast("long").alias("item_id"),
-        F.col("best.similarity").alias("similarity"),
+        F.col("best.item_id").alias("item_id"),
+        (-F.col("best.s")).alias("similarity"),
     )
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """docs without those that hold a window like an item; the rest untouched."""
     leaking = materialize(matches(docs, benchmark, **how).select("_row").distinct(), "leaking")
-    return docs.withColumn("_row", row_key()).join(leaking, "_row", "left_anti").drop("_row")
+    return docs.drop("_row").withColumn("_row", row_key()).join(leaking, "_row", "left_anti").drop("_row")
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:

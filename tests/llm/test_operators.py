@@ -126,7 +126,7 @@ def test_decontaminate(spark, awkward, repeated, none):
     for i, t in AWKWARD:
         want = brute.leaks(t, [x for x in items if x[1]])
         assert (got[i].contaminated, got[i].n_items) == (bool(want), len(want)), i
-    shuffled = {r.doc_id: r.contaminated for r in decontaminate.judge(awkward, bench, broadcast_items=0, broadcast_docs=0).collect()}
+    shuffled = {r.doc_id: r.contaminated for r in decontaminate.judge(awkward, bench, broadcast_shingles=0).collect()}
     assert shuffled == {i: r.contaminated for i, r in got.items()}
     assert decontaminate.judge(repeated, bench).count() == repeated.count()
     assert decontaminate.judge(none, bench).count() == 0
@@ -143,9 +143,83 @@ def test_items_that_share_an_id(spark):
     assert got == {0: (True, 1, 1), 1: (True, 1, 1), 2: (True, 1, None), 3: (True, 1, None), 4: (False, 0, None), 9: (True, 2, 1)}
 
 
+def test_fingerprints_find_what_is_similar_and_little_else(spark):
+    """Recall of the block lookup at the threshold, for edits of all kinds, and the candidates among windows that are like no item."""
+    rng = np.random.default_rng(11)
+    items, windows, want = [], [], set()
+    for i in range(300):
+        n = int(rng.integers(20, 120))
+        item = [f"w{x}" for x in rng.integers(0, 50_000, n)]
+        items.append((i, n, item))
+        for kind in range(3):
+            w, lost = list(item), 0
+            # As many edits as leave 75 per cent: of words here and there, of words at an end, of a run in the middle.
+            while True:
+                v = list(w)
+                at = {0: int(rng.integers(0, n)), 1: n - 1 - lost, 2: n // 2 + lost}[kind]
+                v[at] = f"x{rng.integers(0, 50_000)}"
+                grams = [collections.Counter(tuple(t[j : j + 5]) for j in range(n - 4)) for t in (item, v)]
+                same = sum((grams[0] & grams[1]).values())
+                if 100 * same < 75 * (2 * (n - 4) - same):
+                    break
+                w, lost = v, lost + 1
+            windows.append(((i, kind), n, 0, w))
+            want.add((i, kind, i))
+    for i in range(1000):
+        n = int(rng.integers(20, 120))
+        windows.append(((i, 9), n, 0, [f"w{x}" for x in rng.integers(0, 50_000, n)]))
+    got = decontaminate.candidates(
+        spark.createDataFrame([((a, b), n, s, w) for (a, b), n, s, w in windows], "_row struct<a:long,b:long>, len int, start int, w array<string>"),
+        spark.createDataFrame(items, "_item long, len int, w array<string>"),
+    )
+    got = {(r._row.a, r._row.b, r._item) for r in got.collect()}
+    assert len(got & want) >= 0.995 * len(want)
+    assert len(got - want) <= 0.001 * len(windows) * len(items) / 100  # a hundred lengths
+
+
 # ---- 4
 
 
+def plain_score(tokens, vocabulary, model, counts):
+    """log10 of the product of the model's probabilities of tokens (None: the end), by sums over all symbols."""
+    shape, p = vocabulary.shape, model.p
+    top = vocabulary.words.split(b"\n")
+    symbol_of = {w: 1 + shape.buckets + i for i, w in enumerate(top[: shape.frequent])}
+    bucket = lambda w: zlib.crc32(w[-2:]) % shape.buckets
+    rare = [w for w in counts if w is not None and w not in symbol_of]
+    mass = {b: sum(counts[w] + 1 for w in rare if bucket(w) == b) + 1 for b in range(shape.buckets)}
+    total, far, near = 0.0, 0, 0
+    for t in tokens:
+        s = 0 if t is None else symbol_of.get(t, 1 + bucket(t))
+        h = p["R"][near].astype(float) * p["c1"] + p["R"][far].astype(float) * p["c2"]
+        z = p["Q"].astype(float) @ h + p["b"]
+        total += (z[s] - np.log(np.exp(z).sum())) / np.log(10)
+        if 0 < s <= shape.buckets:
+            total += np.log10((counts[t] + 1) / mass[s - 1])
+        far, near = (0, 0) if t is None else (near, s)
+    return total
+
+
+def test_lm_score_is_what_the_parameters_say(spark, real, monkeypatch):
+    shape, held = lm_scores.Shape(frequent=60, buckets=7, size=6, warm_docs=50, dictionary=500, part_tokens=5000), F.col("doc_id") % 5 == 2
+    fitted, keep = lm_scores._fitted, {}
+
+    def spy(learn, vocabulary, rate):
+        keep["vocabulary"], keep["model"] = vocabulary, fitted(learn, vocabulary, rate)
+        return keep["model"]
+
+    monkeypatch.setattr(lm_scores, "_fitted", spy)
+    docs = spark.createDataFrame(real, "doc_id long, text string")
+    one = {r.doc_id: r.score for r in lm_scores.score(docs.coalesce(1), held, shape).collect()}
+    toks = {i: [*(t or "").encode().lower().split(), None] for i, t in real}
+    counts = collections.Counter(w for i in toks if i % 5 != 2 for w in toks[i])
+    for i in list(toks)[::7]:
+        assert one[i] == pytest.approx(plain_score(toks[i], keep["vocabulary"], keep["model"], counts), rel=1e-4), i
+    # However the documents are stored.
+    other = {r.doc_id: r.score for r in lm_scores.score(docs.repartition(7), held, shape).collect()}
+    assert other == pytest.approx(one, rel=1e-6)
+
+
 def test_lm_scores(spark, repeated, none, real):
     shape = lm_scores.Shape(warm_docs=100, dictionary=500)
     held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
@@ -213,6 +287,68 @@ def test_sharding(spark, awkward, repeated, none):
     assert sharding.shard(none).count() == 0
 
 
+def plain_shards(rows, shards=8, nodes=64, slack=0.001, cells=1 << 14, split=256):
+    """The shard of each row (doc_id, text) by walking the ring key by key; no text is large enough to be cut."""
+    import hashlib
+    import struct
+
+    import xxhash
+
+    key = {t: xxhash.xxh64_intdigest((t or "").encode(), 42) for _, t in rows}
+    size = collections.Counter()
+    for _, t in rows:
+        size[key[t]] += len((t or "").encode()) + 1
+    copies, total = collections.Counter(key[t] for _, t in rows), sum(size.values())
+    cell = {k: k >> 50 for k in size}
+    load = collections.Counter()
+    for k in size:
+        load[cell[k]] += size[k]
+    large = total / (8 * cells / split)
+    groups = collections.defaultdict(int)  # (cell, what is placed together)
+    of = {}
+    for number, k in enumerate(sorted(size, key=lambda k: k - (1 << 64) if k >> 63 else k)):
+        if load[cell[k]] < large:
+            of[k] = cell[k], 0
+        elif size[k] >= large and copies[k] > 1:
+            assert 2 * shards * size[k] < total
+            of[k] = cell[k], 1 + number
+        else:
+            seed = xxhash.xxh64_intdigest(struct.pack("<i", 5), 42)
+            h = xxhash.xxh64_intdigest(struct.pack("<Q", k), seed)
+            of[k] = cell[k], -1 - (h - (1 << 64) if h >> 63 else h) % split
+        groups[of[k]] += size[k]
+    points = sorted((int.from_bytes(hashlib.blake2b(f"{s}/{v}".encode(), digest_size=8).digest(), "big"), s) for s in range(shards) for v in range(nodes))
+    filled, where = [0] * shards, {}
+    for g in sorted(groups, key=lambda g: (-groups[g] if groups[g] >= large else 0, g)):
+        clockwise = [s for p, s in points if p >= g[0] << 50] + [s for p, s in points if p < g[0] << 50]
+        fits = [s for s in clockwise if filled[s] + groups[g] <= (1 + slack) * total / shards]
+        where[g] = fits[0] if fits else min(range(shards), key=lambda s: (filled[s], s))
+        filled[where[g]] += groups[g]
+    return [(i, where[of[key[t]]]) for i, t in rows]
+
+
+def test_shards_by_the_plain_ring(spark):
+    for n in ("0.001", "0.01"):
+        df = spark.read.parquet(f"/root/testdata/sf{n}/documents.parquet")
+        rows = [(r.doc_id, r.text) for r in df.collect()]
+        got = sharding.shard(df).toPandas()
+        assert sorted(zip(got.doc_id, got.shard)) == sorted(plain_shards(rows))
+        where = dict(zip(got.doc_id, got.shard))
+        groups = collections.defaultdict(set)
+        for i, t in rows:
+            groups[t].add(where[i])
+        assert all(len(g) == 1 for g in groups.values())  # equal texts lie together
+
+
+def test_a_text_too_large_for_a_shard_is_cut(spark):
+    rows = [(i, "the same text over and over again") for i in range(600)] + [(1000 + i, f"own text {i}") for i in range(600)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    loads = got.groupby("shard")["size"].sum()
+    assert len(loads) == 8 and loads.max() < 1.2 * loads.mean()
+    for _, g in got.groupby("shard"):
+        assert sorted(g.slot) == list(range(len(g)))
+
+
 def test_ring_moves_little():
     cells = [(c, 0, 1, 100) for c in range(1 << 12)]
     a, b = (sharding.place(cells, n, 64, 0.05, (1 << 64) >> 12) for n in (8, 9))
@@ -239,6 +375,16 @@ def test_token_counts(spark, awkward, repeated, none):
         assert m.count(s) == len(t.encode(s, add_special_tokens=False).ids), repr(s)
 
 
+def test_token_counts_of_documents(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizers_files.path("byte_bpe_50k.json"))
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()}
+    for r in token_counts.op7_token_counts(spark, DIR).collect():
+        n = len(t.encode(texts[r.doc_id], add_special_tokens=False).ids)
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(texts[r.doc_id].encode()), n, n > 1024)
+
+
 # ---- 8
 
 
@@ -262,6 +408,15 @@ def test_depleted_documents_go(spark):
     assert got == {**{i: True for i in range(5)}, 9: False, 10: True}
 
 
+def test_the_verdict_of_the_query_goes_beyond_the_base_rules(spark):
+    """With production parameters: lines are frequent on real tables and deplete documents."""
+    got = quality.op8_quality_rules(spark, "/root/testdata/sf0.01").toPandas()
+    assert (got.n_frequent_words > 0).sum() > 0
+    rows = host_rows(60, "x") + host_rows(600, "y")
+    kept = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("NOT base_failed").collect()}
+    assert {i for i, k in kept.items() if not k} == {60_000, 600_000}
+
+
 def host_rows(size, host):
     """A tenth of the host's documents hold a line; the first of them has too few words besides."""
     line = "all rights reserved by the owners of this very host of pages"
@@ -316,6 +471,43 @@ def test_near_dedup_of_many_edited_copies(spark):
         assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_near_dedup_of_a_large_group(spark):
+    """3,000 edited copies of one text, most of them near the threshold: all links are found, by few comparisons."""
+    rng = np.random.default_rng(17)
+    rows = []
+    for i in range(3000):
+        w = [f"w{j}" for j in range(150)]
+        for j in rng.choice(150, 1 if i % 50 == 0 else int(rng.integers(4, 8)), replace=False):
+            w[j] = f"x{rng.integers(0, 3000)}"
+        rows.append((i, " ".join(w)))
+    sets = [brute.shingles(t) for _, t in rows]
+    names = {g: k for k, g in enumerate(set().union(*sets))}
+    has = np.zeros((3000, len(names)), np.float32)
+    for i, s in enumerate(sets):
+        has[i, [names[g] for g in s]] = 1
+    same, size = has @ has.T, has.sum(1)
+    linked = 100 * same >= 75 * (size[:, None] + size[None, :] - same)
+    label = np.arange(3000)
+    while True:
+        least = np.where(linked, label[None, :], 3000).min(1)
+        if (least == label).all():
+            break
+        label = least
+    calls, plain = [], near_dedup.compare
+
+    def counted(pairs, *a, **k):
+        calls.append(pairs.count())
+        return plain(pairs, *a, **k)
+
+    near_dedup.compare = counted
+    try:
+        got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    finally:
+        near_dedup.compare = plain
+    assert got == {i: int(c) for i, c in enumerate(label)}
+    assert sum(calls) < 20 * 3000, calls
+
+
 def test_members_that_are_nobodys_best_count_as_owners(spark):
     """3 is compared with none and nobody's best: 1, which shares all of its set with it, isn't closed; 5 shares too little."""
     sets = {1: range(20), 2: range(10), 3: range(20), 4: range(90, 110), 5: range(100, 120)}
@@ -354,10 +546,27 @@ def test_line_dedup(spark, awkward, batches):
 
 
 def test_line_runs_are_levelled(spark, awkward, repeated, none):
+    lines = line_dedup._lines(awkward.where("doc_id > 9").select("doc_id", "text"), 20)
+    batch = line_dedup.line_sums(lines, F.lit(0))
     runs = line_dedup.LineRuns(spark, fanout=2)
     for _ in range(5):
-        runs.add(awkward.where("doc_id > 9").select("doc_id", "text"))
+        runs.add(batch)
     assert sorted(r.level for r in runs.runs) == [0, 2]
     assert not runs.runs[-1].rows.where("is_new").count()  # what a later batch repeats isn't new
+    # A line stands as new in one run alone, and what is known of it adds up.
+    once = {(r.h1, r.h2): (r.n_docs, r.last_doc) for r in batch.collect()}
+    known = runs.lines().collect()
+    assert len(known) == len(once) == sum(r.rows.where("is_new").count() for r in runs.runs)
+    assert {(r.h1, r.h2): (r.n_docs, r.last_doc) for r in known} == {k: (5 * n, i) for k, (n, i) in once.items()}
+
+
+def test_joins_with_runs_move_only_the_batch(spark, awkward):
+    sums = line_dedup.bucketed(line_dedup.line_sums(line_dedup._lines(awkward.select("doc_id", "text"), 20), F.lit(0)), "sums", line_dedup.HASH)
+    run = line_dedup.bucketed(sums.withColumn("is_new", F.lit(True)), "run", line_dedup.HASH)
+    plan = sums.join(run.hint("merge"), line_dedup.HASH, "left")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def test_line_dedup_of_odd_tables(spark, repeated, none):
     assert line_dedup.drop_lines(repeated).count() == repeated.count()
     assert line_dedup.drop_lines(none).count() == 0

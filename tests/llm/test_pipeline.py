@@ -7,6 +7,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from brindle.llm import registry
 from brindle.llm.common import materialize
@@ -44,6 +45,24 @@ def test_stages(spark):
     assert whole == {(i, rows[0].doc_tokens) for i, rows in by.items()}
 
 
+def test_stages_with_odd_tables(spark):
+    """Null texts and ids, repeated rows, no rows, and columns with names that the operators use."""
+    text = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    rows = [(1, text("a")), (1, text("a")), (2, None), (3, ""), (None, text("b")), (None, text("b")), (4, " ".join(f"c{i}" for i in range(8000))), (5, text("d"))]
+    docs = spark.createDataFrame([(i, t, "en", None, 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    clashing = ("_row", "_gone", "_kept", "_id", "n_lines", "n_dropped", "loss_from", "h1", "item_id", "n", "start", "kept", "other0", "len", "w")
+    docs = docs.withColumns({c: F.lit(f"<{c}>") for c in clashing})
+    for table in (docs, docs.limit(0)):
+        now = table
+        for name, stage in corpus_pipeline.STAGES:
+            now = materialize(stage(spark, now, DIR), "test")
+            if name != "packing":
+                assert now.columns == docs.columns, name
+                assert all(r[c] == f"<{c}>" for r in now.collect() for c in clashing), name
+        assert {r.doc_id for r in now.collect()} == ({1, None, 4, 5} if table is docs else set())
+        assert now.where("start = 0").count() == (4 if table is docs else 0)
+
+
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_oracles(spark, name):
     con = duckdb.connect()
