@@ -151,7 +151,7 @@ def schema_violations(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("event_id", broken.cast("bigint").alias("violations"))
 
 
-@query("SELECT n_nationkey AS id, n_name AS name, CAST(n_regionkey AS DOUBLE) AS region, 'open' AS state FROM nation")
+@query("SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name, CAST(n_regionkey AS DOUBLE) AS region, 'open' AS state FROM nation")
 def schema_evolution(spark: SparkSession, d: str) -> DataFrame:
     """Rows of the first version read as the third: a widened number and a new field with its default."""
     first = Schema((Field("id", "int64"), Field("name", "string"), Field("region", "float32")))
