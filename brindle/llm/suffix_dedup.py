@@ -166,17 +166,17 @@ def _hash(x: bytes, seed: int = 0) -> int:
     return int.from_bytes(hashlib.blake2b(x, digest_size=8, key=seed.to_bytes(8, "little", signed=True)).digest(), "little", signed=True)
 
 
-PIECE = "key long, content long, mini long, region long, first int, times long, bytes binary"
+PIECE = "key long, content long, mini long, region long, first int, times long, hot boolean, bytes binary"
 
 
-def _pieces(docs: DataFrame, classes: DataFrame, hot: bool, plan: Plan) -> DataFrame:
-    """PIECE rows of classes (mini, content, times, _row, start, count): the bytes of one region of each.
+def _pieces(docs: DataFrame, classes: DataFrame, plan: Plan) -> DataFrame:
+    """PIECE rows of classes (mini, content, times, hot, _row, start, count): the bytes of one region of each.
 
-    Those of hot minimizers in runs, each with a key and content of its own.
+    Those of hot minimizers in runs, each with a key and content of its own. Both kinds come from one shuffle of the texts.
     """
     import pyarrow as pa
 
-    entry = F.struct("mini", "content", "times", "start", "count")
+    entry = F.struct("mini", "content", "times", "hot", "start", "count")
     want = materialize(classes.groupBy("_row").agg(F.collect_list(entry).alias("want")), "want")
     src = _texts(docs).join(want, "_row").select("text", "want")
 
@@ -188,11 +188,12 @@ def _pieces(docs: DataFrame, classes: DataFrame, hot: bool, plan: Plan) -> DataF
             for x, entries in zip(b.column(0), b.column(1).to_pylist()):
                 text = x.as_buffer().to_pybytes()
                 for e in entries:
+                    hot = e["hot"]
                     part = text[e["start"] : e["start"] + e["count"] - 1 + plan.length]
                     runs = _runs(part, e["mini"], plan) if hot else [(e["mini"], 0, e["count"] - 1)]
                     for key, a, z in runs:
                         own = part[a : z + plan.length]
-                        row = key, _hash(own) if hot else e["content"], e["mini"], e["content"], a, e["times"], own
+                        row = key, _hash(own) if hot else e["content"], e["mini"], e["content"], a, e["times"], hot, own
                         for c, v in zip(cols, row):
                             c.append(v)
                         size += len(own)
@@ -201,7 +202,7 @@ def _pieces(docs: DataFrame, classes: DataFrame, hot: bool, plan: Plan) -> DataF
                     cols, size = [[] for _ in names], 0
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
 
-    kinds = [pa.int64()] * 4 + [pa.int32(), pa.int64(), pa.binary()]
+    kinds = [pa.int64()] * 4 + [pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
     return src.mapInArrow(run, PIECE)
 
 
@@ -248,9 +249,8 @@ def covered(starts: np.ndarray, length: int) -> np.ndarray:
     return np.stack([starts[new], starts[np.concatenate([new[1:], [True]])] + length], 1)
 
 
-def _hot_repeats(docs: DataFrame, classes: DataFrame, plan: Plan) -> DataFrame:
-    """mini, content, spans of classes of hot minimizers."""
-    runs = materialize(_pieces(docs, classes, True, plan), "hot-runs")
+def _hot_repeats(runs: DataFrame, plan: Plan) -> DataFrame:
+    """mini, content, spans of the regions of hot minimizers, from the PIECE rows of their runs."""
     # Rows that repeat wholly give a region twice.
     runs = runs.groupBy("key", "content", "mini", "region", "first").agg(F.first("times").alias("times"), F.first("bytes").alias("bytes"))
     unique = materialize(runs.groupBy("key", "content").agg(F.sum("times").alias("times"), F.first("bytes").alias("bytes")), "hot-unique")
@@ -279,11 +279,15 @@ def repeated_spans(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     classes = kept.groupBy("mini", "content").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("p"), salts("_row"))
     classes = materialize(classes.select("mini", "content", "times", "_salts", "p.*"), "classes")
     hot = materialize(classes.groupBy("mini").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > plan.hot).select("mini"), "hot")
-    any_hot = not hot.isEmpty()
-    cold = classes.join(hot, "mini", "left_anti") if any_hot else classes
-    spans = _repeats(_pieces(docs, cold, False, plan), plan).select(F.col("key").alias("mini"), "content", "spans")
-    if any_hot:
-        spans = spans.union(_hot_repeats(docs, classes.join(hot, "mini", "left_semi"), plan))
+    if hot.isEmpty():
+        pieces, runs = _pieces(docs, classes.withColumn("hot", F.lit(False)), plan), None
+    else:
+        told = classes.join(hot.withColumn("hot", F.lit(True)), "mini", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+        both = materialize(_pieces(docs, told, plan), "pieces")
+        pieces, runs = both.where(~F.col("hot")), both.where("hot")
+    spans = _repeats(pieces, plan).select(F.col("key").alias("mini"), "content", "spans")
+    if runs is not None:
+        spans = spans.union(_hot_repeats(runs, plan))
     spans = materialize(spans, "repeats").join(classes.select("mini", "content", "_salts"), ["mini", "content"])
     found = join_hot(kept, spans, ["mini", "content"], "_row", "merge")
     return found.groupBy("_row").agg(F.collect_list(F.struct("start", "spans")).alias("found"))

@@ -108,6 +108,20 @@ def test_suffix_dedup(spark, awkward, plan):
     assert {i: (r.n_bytes, r.n_bytes - len(r.kept), len(r.spans) // 2, bytes(r.kept)) for i, r in got.items()} == want
 
 
+def test_suffix_dedup_fetches_texts_once(spark, monkeypatch):
+    """Regions of hot and of other minimizers are cut from one shuffle of the texts."""
+    rng = np.random.default_rng(3)
+    own = lambda: " ".join(map(str, rng.integers(10**8, 10**9, 60)))
+    twice = own()
+    rows = [(i, f"{own()} {PASSAGE} {own()}") for i in range(12)] + [(20, f"{twice} a {own()}"), (21, f"{own()} b {twice}"), (22, own())]
+    made = []
+    monkeypatch.setattr(suffix_dedup, "materialize", lambda df, tag, f=suffix_dedup.materialize: made.append((tag, f(df, tag))) or made[-1][1])
+    got = suffix_dedup.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string"), suffix_dedup.Plan(hot=4)).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_bytes - len(r.kept), len(r.spans) // 2, bytes(r.kept)) for r in got} == brute.cut_repeats(rows)
+    assert [tag for tag, _ in made].count("want") == 1
+    assert {r.hot for r in dict(made)["pieces"].select("hot").distinct().collect()} == {True, False}
+
+
 def test_suffix_dedup_real(spark, real, none, repeated):
     want = brute.cut_repeats(real)
     got = {r.doc_id: r for r in suffix_dedup.op2_suffix_dedup(spark, DIR).collect()}
