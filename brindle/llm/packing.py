@@ -19,9 +19,11 @@ from __future__ import annotations
 
 import os
 import struct
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -99,6 +101,24 @@ class WordIds:
         return [b"".join(ids) for ids in out]
 
 
+_encoders: dict[tuple[str, str], WordIds] = {}
+
+
+def _of_worker(path: str, query: str) -> WordIds:
+    if (path, query) not in _encoders:
+        _encoders.clear()
+        _encoders[path, query] = WordIds(path)
+    return _encoders[path, query]
+
+
+def word_ids(path: str) -> Callable[[], WordIds]:
+    """An encoder for pack(), one for each worker process: a task finds the words that the query's tasks before it have encoded.
+
+    The next query begins anew, so a worker holds the words of one.
+    """
+    return partial(_of_worker, path, uuid.uuid4().hex)  # goes to workers by name, so they keep what it makes
+
+
 def dot_product_bins(sizes: np.ndarray, limits: np.ndarray) -> list[list[int]]:
     """Rows of sizes (pieces x resources) dealt into bins under limits; every row must fit an empty bin."""
     share = sizes / limits
@@ -202,7 +222,7 @@ def pack(
 ) -> DataFrame:
     """Pieces of docs (doc_id, text, and if it has it loss_from: the first loss-bearing token) and the sequence of each.
 
-    encoder() is called once for each task; what it gives makes texts into ids, as little-endian 32-bit numbers.
+    encoder() is called by each task; what it gives makes texts into ids, as little-endian 32-bit numbers.
     cut: pieces may be cut anywhere; without it only documents longer than a sequence are.
     with_ids: a binary column ``ids`` holds the ids themselves.
     """
@@ -265,4 +285,4 @@ def op1_packing(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), lambda: WordIds(path))
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), word_ids(path))

@@ -86,6 +86,33 @@ def test_packing(spark, awkward, repeated, none, real):
     assert packing.pack(repeated, lambda: packing.WordIds(path)).where("start = 0").count() == repeated.count()
 
 
+def test_packing_tasks_of_a_worker_share_words(monkeypatch, real):
+    """The tasks that a worker runs one after another encode a word once; what is kept stays right when it is swapped."""
+    import corpus_pipeline
+    from pyspark import cloudpickle
+    from tokenizers import Tokenizer
+
+    path, given = tokenizers_files.path("word_bpe_49k.json"), []
+    monkeypatch.setattr(packing, "pack", lambda docs, encoder: given.append(encoder))
+
+    class Any:
+        def __getattr__(self, name):
+            return self if name == "read" else lambda *a: self
+
+    packing.op1_packing(Any(), DIR)
+    corpus_pipeline.packing_stage(Any(), Any(), DIR)
+    for encoder in given:
+        task, after = (cloudpickle.loads(cloudpickle.dumps(encoder)) for _ in range(2))
+        assert task() is after()
+    assert len(packing._encoders) == 1
+    t, small = Tokenizer.from_file(path), packing.WordIds(path, cache=50)
+    texts = [(text or "").encode() for _, text in AWKWARD + real[:60]]
+    want = [np.array(t.encode(x.decode(), add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    for encode in (given[0](), small):
+        for _ in range(2):
+            assert [ids for i in range(0, len(texts), 7) for ids in encode(texts[i : i + 7])] == want
+
+
 def test_packing_keeps_limits_without_cuts():
     rng = np.random.default_rng(1)
     pieces = [packing.Piece(i, 0, bytes(4 * int(n)), int(n), int(n) - int(m)) for i, (n, m) in enumerate(zip(rng.integers(1, 100, 400), rng.integers(0, 40, 400))) if n >= m]
