@@ -27,7 +27,7 @@ class ShardBwt:
         for j in range(STEP):
             packed = (packed << np.uint64(8)) | around[j : j + n]
         self.packed = packed  # the eight bytes from each position on
-        sa = np.argsort(packed, kind="stable")
+        sa = np.argsort(packed)  # what is tied is told apart below, or counts as equal
         rank = np.empty(n, np.int64)
         starts = self._starts(packed[sa])
         rank[sa] = starts
@@ -39,7 +39,7 @@ class ShardBwt:
             if len(slots):
                 i = sa[slots]
                 key = rank[i] * n + rank[(i + h) % n]
-                o = np.argsort(key, kind="stable")
+                o = np.argsort(key)
                 i, key = i[o], key[o]
                 sa[slots] = i
                 starts = slots[self._starts(key)]
@@ -82,24 +82,23 @@ def merged_groups(shards: list[ShardBwt], depth: int) -> list[np.ndarray]:
     begins = np.concatenate([[True], first[rows][1:] != first[rows][:-1]])
     passed = np.zeros(total, bool)  # blocks of one shard that have been passed on
 
-    def refine_next(at: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of the places at, in blocks that new begins, are refined in the next step; and which lie in blocks of several shards."""
+    def refine_next(at: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which of the places at, in blocks that new begins, are refined in the next step; which lie in blocks of several shards; and the blocks of the former."""
         head = np.flatnonzero(new)
         block = np.cumsum(new) - 1
         s = shard[rows[at]]
         mixed = (np.minimum.reduceat(s, head) != np.maximum.reduceat(s, head))[block]
         go = mixed | ~passed[at]
         passed[at[~mixed]] = True
-        return go, mixed
+        return go, mixed, block[go]
 
     every = np.arange(total)
-    go, mixed = refine_next(every, begins)
+    go, mixed, block = refine_next(every, begins)
     several = mixed.copy()
     active = every[go]
     for _ in range(depth // STEP - 1):
         if not len(active):
             break
-        block = np.cumsum(begins)[active]
         r = rows[active]
         c, q = before[r], step_back[r]
         o = np.argsort(c, kind="stable")
@@ -110,7 +109,7 @@ def merged_groups(shards: list[ShardBwt], depth: int) -> list[np.ndarray]:
         new = np.concatenate([[True], (c[1:] != c[:-1]) | (block[1:] != block[:-1])])
         begins[to[new]] = True
         several[to] = False
-        go, mixed = refine_next(to, new)
+        go, mixed, block = refine_next(to, new)
         several[to] = mixed
         active = to[go]
     # several: blocks known to depth that hold suffixes of several shards; in others, the shard's own groups count.
