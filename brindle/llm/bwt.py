@@ -5,8 +5,11 @@ suffixes are sorted once, by prefix doubling that only looks at what is still ti
 merged without sorting their suffixes anew (Holt and McMillan, 2014): the interleave, at first by the
 first symbol, is refined with each step by one more symbol, as the order of cX among those that begin
 with c is the order of X. A symbol here is eight bytes, so a step lengthens the known prefix by
-eight bytes and 200 bytes take 24 steps. Only blocks of equal prefixes that hold suffixes of several
-shards are refined further; a block of one shard is passed on once and then keeps its shard's order.
+eight bytes and 200 bytes take 24 steps. Only open blocks are refined: those of equal prefixes that hold
+suffixes of several shards and don't reach the end of a string yet. A block of one shard keeps its shard's order.
+
+What lies behind the end of a string tells nothing of its substrings: suffixes that agree up to it stay tied.
+Sorts are of numbers that carry their own place in the low bits, as numpy sorts values far faster than indices.
 """
 
 from __future__ import annotations
@@ -16,8 +19,24 @@ import numpy as np
 STEP, CLOSE = 8, 0xFF
 
 
+def _order(keys: np.ndarray, limit: int) -> np.ndarray:
+    """The stable order of keys, which are not negative and below limit."""
+    bits = len(keys).bit_length()
+    if limit << bits > 1 << 63:
+        return np.argsort(keys, kind="stable")
+    held = (keys << bits) | np.arange(len(keys))
+    held.sort()
+    return held & ((1 << bits) - 1)
+
+
+def _starts(keys: np.ndarray) -> np.ndarray:
+    """For sorted keys: where the run of equals that each belongs to begins."""
+    new = np.concatenate([[True], keys[1:] != keys[:-1]])
+    return np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))
+
+
 class ShardBwt:
-    """Sorted suffixes of one shard to a depth of at least ``depth`` bytes (a multiple of 8, 136 to 256)."""
+    """Suffixes of one shard, sorted by their first ``depth`` bytes (a multiple of 8) or up to the end of their string."""
 
     def __init__(self, strings: list[bytes], depth: int):
         text = np.frombuffer(b"".join(s + b"\xff" for s in strings), np.uint8)
@@ -27,92 +46,86 @@ class ShardBwt:
         for j in range(STEP):
             packed = (packed << np.uint64(8)) | around[j : j + n]
         self.packed = packed  # the eight bytes from each position on
+        sizes = np.array([len(s) + 1 for s in strings])
+        self.left = np.repeat(np.cumsum(sizes), sizes) - np.arange(n)  # bytes to the end of the string, CLOSE included
         sa = np.argsort(packed)  # what is tied is told apart below, or counts as equal
         rank = np.empty(n, np.int64)
-        starts = self._starts(packed[sa])
+        self.group = starts = _starts(packed[sa])
         rank[sa] = starts
         slots = self._tied(starts, np.arange(n))
-        h, at_128 = STEP, None
-        while h < 256:
-            if h == 128:
-                at_128 = rank.copy()
-            if len(slots):
-                i = sa[slots]
-                key = rank[i] * n + rank[(i + h) % n]
-                o = np.argsort(key)
-                i, key = i[o], key[o]
-                sa[slots] = i
-                starts = slots[self._starts(key)]
-                rank[i] = starts
-                slots = self._tied(starts, slots)
-            h *= 2
+        h = STEP
+        while h < depth:
+            slots = slots[self.left[sa[slots]] > h]  # equal prefixes end alike, so all of a run or none
+            if not len(slots):
+                break
+            more = min(h, depth - h)
+            i = sa[slots]
+            key = rank[i] * n + rank[i + more]
+            o = _order(key, n * n)
+            i, key = i[o], key[o]
+            sa[slots] = i
+            starts = slots[_starts(key)]
+            rank[i] = self.group[slots] = starts
+            slots = self._tied(starts, slots)
+            h += more
         self.sa, self.rank = sa, np.empty(n, np.int64)
         self.rank[sa] = np.arange(n)
-        # Suffixes that agree in the first depth bytes: in the first 128 and in the last 128 of them.
-        a, b = sa[:-1], sa[1:]
-        off = depth - 128
-        same = (at_128[a] == at_128[b]) & (at_128[(a + off) % n] == at_128[(b + off) % n])
-        self.group = np.concatenate([[0], np.cumsum(~same)])
-
-    @staticmethod
-    def _starts(keys: np.ndarray) -> np.ndarray:
-        """For sorted keys: where the run of equals that each belongs to begins."""
-        new = np.concatenate([[True], keys[1:] != keys[:-1]])
-        return np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))
 
     @staticmethod
     def _tied(starts: np.ndarray, slots: np.ndarray) -> np.ndarray:
-        single = np.concatenate([starts[1:] != starts[:-1], [True]]) & np.concatenate([[True], starts[1:] != starts[:-1]])
-        return slots[~single]
+        new = np.concatenate([[True], starts[1:] != starts[:-1], [True]])
+        return slots[~(new[1:] & new[:-1])]
 
 
 def merged_groups(shards: list[ShardBwt], depth: int) -> list[np.ndarray]:
-    """For each shard, a number for every text position: equal where the first depth bytes are equal, in whatever shard."""
+    """For each shard, a number for every text position whose string has depth bytes more: equal where these are equal, in whatever shard."""
     total = sum(s.n for s in shards)
     base = np.cumsum([0, *(s.n for s in shards)])
-    shard = np.concatenate([np.full(s.n, k) for k, s in enumerate(shards)])
+    shard = np.concatenate([np.full(s.n, k, np.int32) for k, s in enumerate(shards)])
     first = np.concatenate([s.packed[s.sa] for s in shards])
-    # Transform (the eight bytes before each suffix) and where the suffix that begins with them stands.
-    before = np.concatenate([s.packed[(s.sa - STEP) % s.n] for s in shards])
-    step_back = np.concatenate([s.rank[(s.sa - STEP) % s.n] + base[k] for k, s in enumerate(shards)])
+    left = np.concatenate([s.left[s.sa] for s in shards])
+    # Where the suffix stands that begins with the transform (the eight bytes before each suffix).
+    step_back = np.concatenate([s.rank[s.sa - STEP] + base[k] for k, s in enumerate(shards)])
 
     rows = np.argsort(first, kind="stable")  # sorted runs, so this merges
     place = np.empty(total, np.int64)
     place[rows] = np.arange(total)
-    begins = np.concatenate([[True], first[rows][1:] != first[rows][:-1]])
-    passed = np.zeros(total, bool)  # blocks of one shard that have been passed on
-
-    def refine_next(at: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Which of the places at, in blocks that new begins, are refined in the next step; which lie in blocks of several shards; and the blocks of the former."""
-        head = np.flatnonzero(new)
-        block = np.cumsum(new) - 1
-        s = shard[rows[at]]
-        mixed = (np.minimum.reduceat(s, head) != np.maximum.reduceat(s, head))[block]
-        go = mixed | ~passed[at]
-        passed[at[~mixed]] = True
-        return go, mixed, block[go]
-
-    every = np.arange(total)
-    go, mixed, block = refine_next(every, begins)
-    several = mixed.copy()
-    active = every[go]
-    for _ in range(depth // STEP - 1):
-        if not len(active):
+    symbol = np.empty(total, np.int64)  # a symbol is named by where those that begin with it begin
+    starts = _starts(first[rows])
+    symbol[rows] = starts
+    begins = starts == np.arange(total)
+    several = np.zeros(total, bool)  # places in blocks of several shards
+    open_rows = np.zeros(total, bool)
+
+    def judge(at: np.ndarray, new: np.ndarray, known: int) -> None:
+        """Notes which of the places at, in blocks that new begins and of which known bytes are equal, lie in blocks of several shards and in open ones."""
+        r = rows[at]
+        s, head = shard[r], np.flatnonzero(new)
+        mixed = np.minimum.reduceat(s, head) != np.maximum.reduceat(s, head)
+        sizes = np.diff(head, append=len(at))
+        several[at] = np.repeat(mixed, sizes)
+        open_rows[r] = np.repeat(mixed & (left[r[head]] > known), sizes)
+
+    at, block = np.arange(total), np.cumsum(begins)
+    judge(at, begins, STEP)
+    for known in range(2 * STEP, depth + 1, STEP):
+        # Of open blocks all that they are refined by lies in blocks that the last step refined.
+        q = step_back[rows[at]]
+        go = open_rows[q]
+        if not go.any():
             break
-        r = rows[active]
-        c, q = before[r], step_back[r]
-        o = np.argsort(c, kind="stable")
+        q, block = q[go], block[go]
+        c = symbol[q]
+        o = _order(c, total)
         c, q, block = c[o], q[o], block[o]
-        to = np.sort(place[q])
-        rows[to] = q
-        place[q] = to
+        at = np.sort(place[q])
+        rows[at] = q
+        place[q] = at
         new = np.concatenate([[True], (c[1:] != c[:-1]) | (block[1:] != block[:-1])])
-        begins[to[new]] = True
-        several[to] = False
-        go, mixed, block = refine_next(to, new)
-        several[to] = mixed
-        active = to[go]
-    # several: blocks known to depth that hold suffixes of several shards; in others, the shard's own groups count.
+        begins[at[new]] = True
+        judge(at, new, known)
+        block = np.cumsum(new)
+    # several: blocks that hold suffixes of several shards; in others, the shard's own groups count.
     own = np.concatenate([s.group for s in shards])[rows]
     same_own = np.concatenate([[False], (shard[rows][1:] == shard[rows][:-1]) & (own[1:] == own[:-1])])
     same = ~begins & (several | same_own)

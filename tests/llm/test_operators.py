@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.llm import decontaminate, line_dedup, lm_scores, near_dedup, packing, quality, sharding, suffix_dedup, token_counts, url_filters
+from brindle.llm import bwt, decontaminate, line_dedup, lm_scores, near_dedup, packing, quality, sharding, suffix_dedup, token_counts, url_filters
 from tests.llm import brute
 
 tokenizers_files = pytest.importorskip("public_tokenizers")
@@ -149,6 +149,30 @@ def test_suffix_dedup_fetches_texts_once(spark, monkeypatch):
     assert {r.hot for r in dict(made)["pieces"].select("hot").distinct().collect()} == {True, False}
 
 
+def test_suffix_merge_refines_open_blocks_only(monkeypatch):
+    """Suffixes that one shard alone has, or that end, are not merged any further; the marks are those of a count of all windows."""
+    rng = np.random.default_rng(5)
+    own = lambda n: rng.integers(97, 123, n, np.uint8).tobytes()
+    passages, tail = [own(300) for _ in range(5)], own(150)
+    strings = [own(int(rng.integers(0, 90))) + passages[k // 9][int(rng.integers(0, 60)) :] + own(int(rng.integers(0, 90))) + tail for k in range(45)]
+    strings += [b"ab" * 150, b"a" * 500, b"a" * 199, b"b" + b"a" * 200, "é".encode() * 130, own(700), b""]
+    for order in (range(len(strings)), rng.permutation(len(strings))):
+        given = [strings[i] for i in order]
+        weights = [1 + (i % 11 == 0) for i in range(len(given))]
+        count = collections.Counter(x[i : i + 200] for x, w in zip(given, weights) for i in range(len(x) - 199) for _ in range(w))
+        want = [[count[x[i : i + 200]] > 1 for i in range(len(x) - 199)] for x in given]
+        assert [m.tolist() for m in bwt.repeated_starts(given, weights)] == want
+    moved = []
+    monkeypatch.setattr(bwt.np, "sort", lambda x, f=np.sort, **k: moved.append(len(x)) or f(x, **k))
+    shared = [[own(300) for _ in range(8)] for _ in range(4)]
+    given = [own(40) + p + own(40) + tail for four in shared for p in four for _ in range(2)]
+    marks = bwt.repeated_starts(given, [1] * len(given))
+    assert all(101 <= m.sum() < 110 for m in marks)  # the shared 300 bytes, and neighbours equal by chance
+    size = sum(map(len, given))
+    # The tails alone are in all shards: 142 of their 150 starts in the first step and eight fewer with each one more.
+    assert sum(moved) < 1.1 * len(given) * sum(range(142, 0, -8)) and max(moved) < size / 3
+
+
 def test_suffix_dedup_real(spark, real, none, repeated):
     want = brute.cut_repeats(real)
     got = {r.doc_id: r for r in suffix_dedup.op2_suffix_dedup(spark, DIR).collect()}
