@@ -19,12 +19,17 @@ import numpy as np
 STEP, CLOSE = 8, 0xFF
 
 
+def _kind(n: int) -> type:
+    """Of numbers up to n: half as wide where that holds them, as arrays of them are most of the memory."""
+    return np.int32 if n < 1 << 31 else np.int64
+
+
 def _order(keys: np.ndarray, limit: int) -> np.ndarray:
     """The stable order of keys, which are not negative and below limit."""
     bits = len(keys).bit_length()
     if limit << bits > 1 << 63:
         return np.argsort(keys, kind="stable")
-    held = (keys << bits) | np.arange(len(keys))
+    held = (keys.astype(np.int64) << bits) | np.arange(len(keys))
     held.sort()
     return held & ((1 << bits) - 1)
 
@@ -32,7 +37,7 @@ def _order(keys: np.ndarray, limit: int) -> np.ndarray:
 def _starts(keys: np.ndarray) -> np.ndarray:
     """For sorted keys: where the run of equals that each belongs to begins."""
     new = np.concatenate([[True], keys[1:] != keys[:-1]])
-    return np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))
+    return np.maximum.accumulate(np.where(new, np.arange(len(keys), dtype=_kind(len(keys))), 0))
 
 
 class ShardBwt:
@@ -41,18 +46,19 @@ class ShardBwt:
     def __init__(self, strings: list[bytes], depth: int):
         text = np.frombuffer(b"".join(s + b"\xff" for s in strings), np.uint8)
         n = self.n = len(text)
+        kind = _kind(n)
         around = np.concatenate([text, np.resize(text, STEP)])
         packed = np.zeros(n, np.uint64)
         for j in range(STEP):
             packed = (packed << np.uint64(8)) | around[j : j + n]
         self.packed = packed  # the eight bytes from each position on
         sizes = np.array([len(s) + 1 for s in strings])
-        self.left = np.repeat(np.cumsum(sizes), sizes) - np.arange(n)  # bytes to the end of the string, CLOSE included
-        sa = np.argsort(packed)  # what is tied is told apart below, or counts as equal
-        rank = np.empty(n, np.int64)
+        self.left = np.repeat(np.cumsum(sizes).astype(kind), sizes) - np.arange(n, dtype=kind)  # bytes to the end of the string, CLOSE included
+        sa = np.argsort(packed).astype(kind)  # what is tied is told apart below, or counts as equal
+        rank = np.empty(n, kind)
         self.group = starts = _starts(packed[sa])
         rank[sa] = starts
-        slots = self._tied(starts, np.arange(n))
+        slots = self._tied(starts, np.arange(n, dtype=kind))
         h = STEP
         while h < depth:
             slots = slots[self.left[sa[slots]] > h]  # equal prefixes end alike, so all of a run or none
@@ -60,7 +66,7 @@ class ShardBwt:
                 break
             more = min(h, depth - h)
             i = sa[slots]
-            key = rank[i] * n + rank[i + more]
+            key = rank[i].astype(np.int64) * n + rank[i + more]
             o = _order(key, n * n)
             i, key = i[o], key[o]
             sa[slots] = i
@@ -68,8 +74,8 @@ class ShardBwt:
             rank[i] = self.group[slots] = starts
             slots = self._tied(starts, slots)
             h += more
-        self.sa, self.rank = sa, np.empty(n, np.int64)
-        self.rank[sa] = np.arange(n)
+        self.sa, self.rank = sa, rank
+        rank[sa] = np.arange(n, dtype=kind)
 
     @staticmethod
     def _tied(starts: np.ndarray, slots: np.ndarray) -> np.ndarray:
@@ -80,20 +86,23 @@ class ShardBwt:
 def merged_groups(shards: list[ShardBwt], depth: int) -> list[np.ndarray]:
     """For each shard, a number for every text position whose string has depth bytes more: equal where these are equal, in whatever shard."""
     total = sum(s.n for s in shards)
-    base = np.cumsum([0, *(s.n for s in shards)])
-    shard = np.concatenate([np.full(s.n, k, np.int32) for k, s in enumerate(shards)])
+    kind = _kind(total)
+    base = np.cumsum([0, *(s.n for s in shards)]).astype(kind)
+    shard = np.concatenate([np.full(s.n, k, np.int16) for k, s in enumerate(shards)])
     first = np.concatenate([s.packed[s.sa] for s in shards])
     left = np.concatenate([s.left[s.sa] for s in shards])
     # Where the suffix stands that begins with the transform (the eight bytes before each suffix).
     step_back = np.concatenate([s.rank[s.sa - STEP] + base[k] for k, s in enumerate(shards)])
 
-    rows = np.argsort(first, kind="stable")  # sorted runs, so this merges
-    place = np.empty(total, np.int64)
-    place[rows] = np.arange(total)
-    symbol = np.empty(total, np.int64)  # a symbol is named by where those that begin with it begin
+    rows = np.argsort(first, kind="stable").astype(kind)  # sorted runs, so this merges
+    every = np.arange(total, dtype=kind)
+    place = np.empty(total, kind)
+    place[rows] = every
+    symbol = np.empty(total, kind)  # a symbol is named by where those that begin with it begin
     starts = _starts(first[rows])
     symbol[rows] = starts
-    begins = starts == np.arange(total)
+    begins = starts == every
+    del first
     several = np.zeros(total, bool)  # places in blocks of several shards
     open_rows = np.zeros(total, bool)
 
@@ -106,7 +115,7 @@ def merged_groups(shards: list[ShardBwt], depth: int) -> list[np.ndarray]:
         several[at] = np.repeat(mixed, sizes)
         open_rows[r] = np.repeat(mixed & (left[r[head]] > known), sizes)
 
-    at, block = np.arange(total), np.cumsum(begins)
+    at, block = every, np.cumsum(begins, dtype=kind)
     judge(at, begins, STEP)
     for known in range(2 * STEP, depth + 1, STEP):
         # Of open blocks all that they are refined by lies in blocks that the last step refined.
@@ -124,12 +133,12 @@ def merged_groups(shards: list[ShardBwt], depth: int) -> list[np.ndarray]:
         new = np.concatenate([[True], (c[1:] != c[:-1]) | (block[1:] != block[:-1])])
         begins[at[new]] = True
         judge(at, new, known)
-        block = np.cumsum(new)
+        block = np.cumsum(new, dtype=kind)
     # several: blocks that hold suffixes of several shards; in others, the shard's own groups count.
     own = np.concatenate([s.group for s in shards])[rows]
     same_own = np.concatenate([[False], (shard[rows][1:] == shard[rows][:-1]) & (own[1:] == own[:-1])])
     same = ~begins & (several | same_own)
-    number = np.empty(total, np.int64)
+    number = np.empty(total, kind)
     number[rows] = np.cumsum(~same)
     return [number[base[k] + s.rank] for k, s in enumerate(shards)]
 
