@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _own_dirs: dict[str, str] = {}
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,7 +39,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that materialize() gave and nothing reads any more, frames made of them included."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(_paths.pop(table))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bucketed(df: DataFrame, tag: str, key: list[str]) -> DataFrame:
@@ -73,6 +85,26 @@ def join_hot(rows: DataFrame, groups: DataFrame, key: list[str], own: str, hint:
     return rows.withColumn("_salt", _salt(own)).join(groups, [*key, "_salt"]).drop("_salt")
 
 
+#: The bit map of join_few() has at most 2 to this power bits (2 MB; about 10 MB as a broadcast table).
+MAP_BITS = 24
+
+
+def join_few(rows: DataFrame, few: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """rows joined with few (read more than once) by key, which has no nulls; how: left, left_anti or inner.
+
+    A bit map of few's keys, of 16 bits a key and more up to MAP_BITS, rules out most rows without a match: they stay where
+    they are, the others are joined by key. Beyond that size more rows are shuffled in vain, but none is joined wrongly.
+    """
+    bits = 1 << min(MAP_BITS, max(10, (16 * few.count()).bit_length()))
+    at = F.pmod(F.xxhash64(key), F.lit(bits))
+    word, bit = F.shiftright(at, 6), at.bitwiseAND(F.lit(63)).cast("int")
+    taken = few.select(word.alias("_map_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("_bit"))
+    taken = F.broadcast(taken.groupBy("_map_word").agg(F.bit_or("_bit").alias("_map_bits")))
+    can = (word == F.col("_map_word")) & (F.getbit("_map_bits", bit) == 1)
+    joined = rows.join(taken, can, "left_semi").join(few, key, how)
+    return joined if how == "inner" else joined.unionByName(rows.join(taken, can, "left_anti"), allowMissingColumns=True)
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import join_hot, materialize, row_key, salts
+from brindle.llm.common import discard, join_few, join_hot, materialize, row_key, salts
 from brindle.llm.components import components
 from brindle.llm.shingles import _stream, mix, shingle_set
 
@@ -46,7 +46,7 @@ class Sketch:
     shingle: int = 5
     percent: int = 75
     margin: float = 0.2
-    #: Candidates (three longs each) are looked up by broadcast up to so many, else by a shuffle of the texts.
+    #: Candidates (three longs each) are looked up by broadcast up to so many, else by a shuffle of those texts that a bit map doesn't rule out.
     broadcast_rows: int = 1_000_000
 
     @property
@@ -119,8 +119,9 @@ def payloads(docs: DataFrame, needed: DataFrame, how: Sketch) -> DataFrame:
     import pyarrow as pa
 
     needed = materialize(needed, "needed")
-    few = needed.count() <= how.broadcast_rows
-    src = _binary(docs).join(F.broadcast(needed) if few else needed, F.col("doc_id") == F.col("id")).select("id", "text", "c1", "c2")
+    texts = _binary(docs).where(F.col("doc_id").isNotNull()).withColumnRenamed("doc_id", "id")
+    src = texts.join(F.broadcast(needed), "id") if needed.count() <= how.broadcast_rows else join_few(texts, needed, "id", "inner")
+    src = src.select("id", "text", "c1", "c2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -227,13 +228,17 @@ def _with_components(df: DataFrame, comps: DataFrame, *cols: str) -> DataFrame:
     return df
 
 
-def class_links(docs: DataFrame, reps: DataFrame, how: Sketch) -> DataFrame:
-    """Links (a, b) between the classes in reps (rep, n, c1, c2, registers) that give their components."""
+def buckets(reps: DataFrame, how: Sketch) -> DataFrame:
+    """h, rep and size of the bands that several of the classes in reps (rep, registers) share."""
     width = 2 * how.rows
     each = F.transform(F.sequence(F.lit(0), F.lit(how.bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("registers"), i * width + 1, F.lit(width))))
     bands = reps.select("rep", F.explode(each).alias("h"))
-    buckets = bands.groupBy("h").agg(F.count(F.lit(1)).alias("size"), salts("rep")).where("size > 1")
-    members = materialize(join_hot(bands, buckets, ["h"], "rep"), "buckets")
+    several = bands.groupBy("h").agg(F.count(F.lit(1)).alias("size"), salts("rep")).where("size > 1")
+    return materialize(join_hot(bands, several, ["h"], "rep"), "buckets")
+
+
+def class_links(docs: DataFrame, reps: DataFrame, members: DataFrame, how: Sketch) -> DataFrame:
+    """Links (a, b) between the classes in reps (rep, c1, c2) that give their components; members: their buckets."""
     # The pivot of a bucket is the member with the most company in all its buckets: of a group of edited copies, the original.
     degree = members.groupBy("rep").agg(F.sum("size").alias("degree"))
     members = members.drop("size").join(degree, "rep")
@@ -249,6 +254,7 @@ def class_links(docs: DataFrame, reps: DataFrame, how: Sketch) -> DataFrame:
     compared = materialize(compare(best, sets, how, details=True), "compared")
     done = materialize(closed(compared, sets, how), "closed")
     links = materialize(compared.where("linked").select("a", "b"), "links")
+    discard(compared)
     # The other pivots, where they lie in another component.
     comps = components(links)
     is_open = lambda df, c: df.join(done.withColumnRenamed("id", c), c, "left_anti")
@@ -261,7 +267,9 @@ def class_links(docs: DataFrame, reps: DataFrame, how: Sketch) -> DataFrame:
     mixed = members.groupBy("b").agg(F.min("c_a").alias("lo"), F.max("c_a").alias("hi"), salts("a")).where(F.col("lo") < F.col("hi"))
     members = join_hot(members, mixed.drop("lo", "hi"), ["b"], "a")
     left = _by_difference(differences(members, sets), how).join(tries.select("a", "b"), ["a", "b"], "left_anti")
-    return links.union(materialize(compare(left, sets, how).select("a", "b"), "links"))
+    links = links.union(materialize(compare(left, sets, how).select("a", "b"), "links"))
+    discard(sets)
+    return links
 
 
 DIFFERENCE = "a long, pivot long, c long, inside boolean, size long, missing long, added long, bits array<long>, differs array<long>"
@@ -318,6 +326,7 @@ def _by_difference(members: DataFrame, how: Sketch) -> DataFrame:
     first = F.slice("alike", 1, F.greatest(F.lit(0), F.least(F.col("last") - 1, F.floor(most / unit))).cast("int"))
     rows = rows.select("a", "pivot", "c", "inside", "w", "free", "differ", "last", "bits", F.posexplode(first).alias("at", "own"))
     rows = materialize(rows.select("pivot", F.col("own.g").alias("g"), (F.col("at") + 1).alias("at"), "a", "c", "inside", "w", "free", "differ", "last", "bits"), "prefixes")
+    discard(members)
     side = lambda df, k: df.select("pivot", "g", *(F.col(c).alias(f"{c}_{k}") for c in ("at", "a", "c", "w", "free", "differ", "last", "bits")))
     x = side(rows.where("NOT inside"), "x")
     y = side(rows.where((F.col("last") - F.col("at")) * unit > F.col("w")), "y")
@@ -333,11 +342,18 @@ def _by_difference(members: DataFrame, how: Sketch) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, how: Sketch = Sketch()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of docs (doc_id, text)."""
-    all_of = materialize(sketch(docs, how), "sketch")
-    linked = all_of.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    reps = linked.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("registers").alias("registers"))
-    reps = materialize(reps, "classes")
-    links = class_links(docs, reps, how)
+    sketches = materialize(sketch(docs, how), "sketch")
+    is_linked = F.col("doc_id").isNotNull() & (F.col("n") > 0)
+    classes = sketches.where(is_linked).groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("registers").alias("registers"))
+    classes = materialize(classes, "classes")
+    # Registers, most of what is written here, go as soon as they are dealt into buckets.
+    all_of = materialize(sketches.drop("registers"), "set-sizes")
+    discard(sketches)
+    linked = all_of.where(is_linked)
+    members = buckets(classes, how)
+    reps = materialize(classes.drop("registers"), "class-ids")
+    discard(classes)
+    links = class_links(docs, reps, members, how)
     member = linked.select("doc_id", "c1", "c2").join(reps.select("c1", "c2", "rep"), ["c1", "c2"]).select("doc_id", "rep")
     member = materialize(member, "membership")
     # An id whose rows are of several classes links them.
@@ -359,7 +375,7 @@ def keep_one(docs: DataFrame, how: Sketch = Sketch()) -> DataFrame:
     docs = docs.drop("_id", "_row").withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), made))
     own = docs.select(F.col("_id").alias("doc_id"), "text")
     gone = materialize(near_duplicates(own, how).where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct(), "near-copies")
-    left = docs.join(gone, "_id", "left_anti").withColumn("_row", row_key("_id"))
+    left = join_few(docs, gone, "_id", "left_anti").withColumn("_row", row_key("_id"))
     twice = own.select(row_key().alias("_row")).groupBy("_row").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("_row")
     twice = materialize(twice, "repeated-rows")
     if not twice.isEmpty():

@@ -1,13 +1,14 @@
 """Each operator against plain Python, on awkward rows and on the smallest tables."""
 
 import collections
+import os
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.llm import bwt, decontaminate, line_dedup, lm_scores, near_dedup, packing, quality, sharding, suffix_dedup, token_counts, url_filters
+from brindle.llm import bwt, common, decontaminate, line_dedup, lm_scores, near_dedup, packing, quality, sharding, suffix_dedup, token_counts, url_filters
 from tests.llm import brute
 
 tokenizers_files = pytest.importorskip("public_tokenizers")
@@ -505,6 +506,57 @@ def test_frequent_lines_are_removed(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def rows_shuffled(df, column):
+    """Rows with this column that df's exchanges write."""
+    df.collect()
+    plan, found = df._jdf.queryExecution().executedPlan(), []
+
+    def walk(node):
+        if node.nodeName() in ("AdaptiveSparkPlan", "ShuffleQueryStage", "BroadcastQueryStage", "TableCacheQueryStage"):
+            return walk(node.executedPlan() if node.nodeName() == "AdaptiveSparkPlan" else node.plan())
+        if node.nodeName() == "Exchange" and any(node.output().apply(i).name() == column for i in range(node.output().size())):
+            found.append(node.metrics().apply("shuffleRecordsWritten").value())
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(plan)
+    return sum(found)
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    """As at sizes where what is found is too large to be broadcast by itself."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_texts_that_stay_as_they_are_are_not_shuffled(spark, no_broadcast):
+    """Those of rejected and cut documents alone move, and copies' texts alone in near-dedup."""
+    letters = lambda n: "".join(chr(97 + n // 26**k % 26) for k in range(4))
+    rows = [(i, " ".join(letters(1000 * i + j) for j in range(25)), "h") for i in range(400)] + [(i, "short", "h") for i in range(400, 412)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    good = quality.keep_good(docs)
+    assert rows_shuffled(good, "text") < 50
+    assert sorted(map(tuple, good.collect())) == rows[:400]
+    copies = [(i + 1000, rows[i][1] + " more", "h") for i in range(9)]
+    one = near_dedup.keep_one(spark.createDataFrame(rows[:400] + copies, docs.schema))
+    assert rows_shuffled(one, "text") < 50
+    assert sorted(map(tuple, one.collect())) == rows[:400]
+
+
+@pytest.mark.parametrize("bits", [24, 4])
+def test_join_few_is_a_join(spark, monkeypatch, bits):
+    """Also where the bit map is too small to rule out anything."""
+    monkeypatch.setattr(common, "MAP_BITS", bits)
+    rows = spark.range(-1000, 1000).selectExpr("id % 700 as k", "id as v")
+    few = spark.createDataFrame([(k, k * 2) for k in range(-30, 2000, 10)], "k long, w long")
+    for table in (few, few.limit(0)):
+        for how in ("left", "left_anti", "inner"):
+            got, want = common.join_few(rows, table, "k", how), rows.join(table, "k", how)
+            assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect())), how
+
+
 # ---- 9
 
 
@@ -591,6 +643,16 @@ def test_one_row_of_repeated_ones_stays(spark):
     assert sorted(x for x in got if x[0]) == [(1, text("a")), (3, text("b")), (4, ""), (5, text("d")), (5, text("e"))]
 
 
+def test_near_dedup_leaves_no_registers_and_sets(spark, real):
+    """What no later step reads is deleted: most of what is written."""
+    folder = common.shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    got = near_dedup.near_duplicates(spark.createDataFrame(real, "doc_id long, text string"))
+    left = {p.rsplit("-", 1)[0] for p in set(os.listdir(folder)) - before}
+    assert "membership" in left and not left & {"sketch", "classes", "sets", "compared", "differences"}
+    assert got.count() == len(real)
+
+
 def test_registers_estimate_similarity():
     rng = np.random.default_rng(5)
     for share in (0.3, 0.75, 0.95):
