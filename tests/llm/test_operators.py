@@ -512,7 +512,7 @@ def rows_shuffled(df, column):
     plan, found = df._jdf.queryExecution().executedPlan(), []
 
     def walk(node):
-        if node.nodeName() in ("AdaptiveSparkPlan", "ShuffleQueryStage", "BroadcastQueryStage", "TableCacheQueryStage"):
+        if node.nodeName() in ("AdaptiveSparkPlan", "ResultQueryStage", "ShuffleQueryStage", "BroadcastQueryStage", "TableCacheQueryStage"):
             return walk(node.executedPlan() if node.nodeName() == "AdaptiveSparkPlan" else node.plan())
         if node.nodeName() == "Exchange" and any(node.output().apply(i).name() == column for i in range(node.output().size())):
             found.append(node.metrics().apply("shuffleRecordsWritten").value())
