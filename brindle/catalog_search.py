@@ -27,7 +27,7 @@ def _index(spark: SparkSession, d: str) -> search.Index:
 
 
 def _hits(spark: SparkSession, d: str, text: str) -> DataFrame:
-    return search.evaluate(_index(spark, d), search.parse(text))
+    return search.found(_index(spark, d), text)
 
 
 @query(_TOKENS + "SELECT doc_id, round(s, 6) AS score FROM score WHERE term = 'nicht'")

@@ -4,7 +4,7 @@ An index is three DataFrames: postings (field, term, doc_id, tf, positions, len)
 values (field, doc_id, value) of numeric and boolean fields. Postings are made document by document, without a shuffle, and
 hold the length of the field, so a score needs no other table of documents. A query string is parsed to a small tree and
 compiled to joins and aggregates over them; scores are Column arithmetic. An IndexStore keeps indexes under names, with the postings
-in the order of their terms: where the query has literal terms, the filter on them skips most of the files.
+of each file in the order of their terms: where the query has literal terms, the filter on them skips most of the pages.
 """
 
 from __future__ import annotations
@@ -12,9 +12,13 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from dataclasses import dataclass
-from functools import lru_cache
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
+from functools import lru_cache, reduce
+from itertools import accumulate, chain
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +26,7 @@ from pyspark.sql import types as T
 
 from brindle.functions.scalar import nfc
 from brindle.functions.stemmer import stem
+from brindle.session import scratch_dir
 
 K1, B = 1.2, 0.75
 
@@ -69,20 +74,103 @@ def analyzed(texts):
     return texts.map(lambda s: [] if s is None else [{"term": t, "pos": i} for t, i in analyze(s)])
 
 
-POSTINGS = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.LongType()), T.StructField("positions", T.ArrayType(T.IntegerType()))]))
+#: Blanks of ASCII: there always are word bounds around them, so what stands between them is cut by itself, but for blanks that a mark follows.
+_CHUNKS = re.compile(r"[^ \t\n\r\x0b\x0c]+").findall
+_MARKED = regex.compile(r"\s[\p{WB=Extend}\p{WB=Format}\p{WB=ZWJ}]").search
 
 
-@F.pandas_udf(POSTINGS)
-def analyzed_postings(texts):
-    """Terms, frequencies and positions of a text column, in Arrow batches."""
+def _cut(chunk: str) -> tuple[str | None, ...]:
+    """The index terms of a text in NFC; None stands for a stop word."""
+    bare = chunk.strip(TRIM)
+    if bare.isascii() and bare.isalnum() and len(bare) <= KEPT:
+        t = bare.lower()
+        return (None if t in _stops else _stem(t),)
+    return tuple(None if t in _stops else _stem(t) if len(t) <= KEPT else stem(t) for t, _ in tokenize(chunk))
 
-    def of(text):
-        at: dict[str, list[int]] = {}
-        for t, i in analyze(text) if text is not None else ():
-            at.setdefault(t, []).append(i)
-        return [{"term": t, "tf": len(p), "positions": p} for t, p in at.items()]
 
-    return texts.map(of)
+#: Longer chunks and terms are not kept, as they would fill a worker's memory.
+KEPT = 40
+_cut_kept = lru_cache(100_000)(_cut)
+
+
+def _chunks(text: str) -> list[str]:
+    """Pieces of a text in NFC whose index terms, in a row, are those of the text."""
+    text = unicodedata.normalize("NFC", text)
+    return [text] if not text.isascii() and _MARKED(text) else _CHUNKS(text)
+
+
+def term_positions(text: str) -> dict[str, list[int]]:
+    """The terms of analyze() with their positions, in the order in which they first occur."""
+    at: dict[str, list[int]] = {}
+    i = 0
+    for chunk in _chunks(text):
+        for t in _cut_kept(chunk) if len(chunk) <= KEPT else _cut(chunk):
+            if t is not None:
+                if t in at:
+                    at[t].append(i)
+                else:
+                    at[t] = [i]
+            i += 1
+    return at
+
+
+def term_number(text: str) -> int:
+    """How many terms analyze() gives."""
+    return sum(len(terms) - terms.count(None) for terms in (_cut_kept(c) if len(c) <= KEPT else _cut(c) for c in _chunks(text)))
+
+
+#: A worker hands on what it has when it holds so many postings, so its memory doesn't grow with a batch.
+HELD = 50_000
+POSTINGS = "array<struct<term:string,tf:bigint,positions:array<int>>>"
+
+
+def _postings_batch(keys: pa.RecordBatch, rows: list[int], found: list[dict[str, list[int]]]) -> pa.RecordBatch:
+    """keys (field, doc_id) of the rows, len and p: the terms found, frequencies and positions."""
+    terms = [t for at in found for t in at]
+    positions = [p for at in found for p in at.values()]
+    tf = [len(p) for p in positions]
+    sizes = [len(at) for at in found]
+    starts = lambda counts: pa.array(accumulate(counts, initial=0), pa.int32())
+    at = pa.ListArray.from_arrays(starts(tf), pa.array(list(chain.from_iterable(positions)), pa.int32()))
+    p = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(tf, pa.int64()), at], ["term", "tf", "positions"])
+    lengths = [sum(map(len, at.values())) for at in found]
+    field, doc_id = (c.take(pa.array(rows, pa.int64())) for c in (keys.column("field"), keys.column("doc_id")))
+    return pa.RecordBatch.from_arrays([field, doc_id, pa.array(lengths, pa.int64()), pa.ListArray.from_arrays(starts(sizes), p)], ["field", "doc_id", "len", "p"])
+
+
+def posting_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        text, rows, found, held = batch.column("text"), [], [], 0
+        for i in range(batch.num_rows):
+            at = term_positions(text[i].as_py() or "")
+            if at:
+                rows.append(i)
+                found.append(at)
+                held += len(at)
+            if held >= HELD:
+                yield _postings_batch(batch, rows, found)
+                rows, found, held = [], [], 0
+        if rows:
+            yield _postings_batch(batch, rows, found)
+
+
+def length_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n = pa.array([term_number(t.as_py() or "") for t in batch.column("text")], pa.int64())
+        out = pa.RecordBatch.from_arrays([batch.column("field"), batch.column("doc_id"), n], ["field", "doc_id", "len"])
+        yield out.filter(pc.greater(n, 0))
+
+
+def analyzed_postings(texts: DataFrame) -> DataFrame:
+    """field, doc_id, len and p (POSTINGS) of field, doc_id and text, without what has no terms."""
+    key = texts.schema["doc_id"].dataType.simpleString()
+    return texts.select("field", "doc_id", "text").mapInArrow(posting_batches, f"field string, doc_id {key}, len bigint, p {POSTINGS}")
+
+
+def analyzed_lengths(texts: DataFrame) -> DataFrame:
+    """field, doc_id and len of field, doc_id and text, without what has no terms: as analyzed_postings(), but nothing else is made."""
+    key = texts.schema["doc_id"].dataType.simpleString()
+    return texts.select("field", "doc_id", "text").mapInArrow(length_batches, f"field string, doc_id {key}, len bigint")
 
 
 def _let(value: Column, body) -> Column:
@@ -122,18 +210,21 @@ class Index:
     lengths: DataFrame
     values: DataFrame
     boosts: dict[str, float]
+    #: field, doc_id, len and p, a row for each text: what postings are read from while they aren't stored.
+    rows: DataFrame | None = None
 
     def without(self, ids: DataFrame) -> Index:
         """After documents (doc_id) are deleted."""
         gone = ids.select("doc_id").distinct()
         cut = lambda df: df.join(gone, "doc_id", "left_anti")
-        return Index(cut(self.docs), cut(self.postings), cut(self.lengths), cut(self.values), self.boosts)
+        return Index(cut(self.docs), cut(self.postings), cut(self.lengths), cut(self.values), self.boosts, cut(self.rows) if self.rows is not None else None)
 
     def merged(self, other: Index) -> Index:
         """With other's documents in the place of those of the same id; ids are stable."""
         own = self.without(other.docs)
         both = lambda a, b: a.unionByName(b)
-        return Index(both(own.docs, other.docs), both(own.postings, other.postings), both(own.lengths, other.lengths), both(own.values, other.values), self.boosts | other.boosts)
+        rows = both(own.rows, other.rows) if own.rows is not None and other.rows is not None else None
+        return Index(both(own.docs, other.docs), both(own.postings, other.postings), both(own.lengths, other.lengths), both(own.values, other.values), self.boosts | other.boosts, rows)
 
     def stats(self) -> DataFrame:
         """docs, tokens and fields."""
@@ -146,14 +237,16 @@ def build(docs: DataFrame, text: list[str], values: list[str] | None = None, boo
     """An index of docs (doc_id and the named columns), one document a row."""
     values = values or []
     fields = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("text")) for f in text]))
-    held = docs.select("doc_id", fields.alias("f")).select("doc_id", "f.field", analyzed_postings("f.text").alias("p")).where(F.size("p") > 0)
-    held = held.withColumn("len", F.aggregate("p", F.lit(0).cast("long"), lambda n, x: n + x["tf"]))
-    lengths = held.select("field", "doc_id", "len")
-    postings = held.select("field", "doc_id", "len", F.explode("p").alias("p")).select("field", "p.term", "doc_id", "p.tf", "p.positions", "len")
-    rows = [F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in values]
+    texts = docs.select("doc_id", fields.alias("f")).select("doc_id", "f.field", "f.text")
+    rows, lengths = analyzed_postings(texts), analyzed_lengths(texts)
+    pairs = [F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in values]
     none = docs.sparkSession.createDataFrame([], "field string, doc_id long, value string")
-    held = docs.select(F.explode(F.array(*rows)).alias("v"), "doc_id").select("v.field", "doc_id", "v.value").where("value IS NOT NULL") if rows else none
-    return Index(docs.select("doc_id"), postings, lengths, held, boosts or {})
+    held = docs.select(F.explode(F.array(*pairs)).alias("v"), "doc_id").select("v.field", "doc_id", "v.value").where("value IS NOT NULL") if pairs else none
+    return Index(docs.select("doc_id"), _exploded(rows), lengths, held, boosts or {}, rows)
+
+
+def _exploded(rows: DataFrame) -> DataFrame:
+    return rows.select("field", "doc_id", "len", F.explode("p").alias("p")).select("field", "p.term", "doc_id", "p.tf", "p.positions", "len")
 
 
 class IndexStore:
@@ -171,12 +264,19 @@ class IndexStore:
         return sorted(s.getPath().getName() for s in fs.listStatus(p) if fs.exists(self._fs(f"{self.path}/{s.getPath().getName()}/boosts")[1])) if fs.exists(p) else []
 
     def save(self, name: str, index: Index) -> Index:
-        """Writes an index, postings range-partitioned and sorted by field and term; the boosts come last and make it whole."""
+        """Writes an index; the boosts come last and make it whole.
+
+        Each task sorts the postings that it has by term and writes them without a shuffle, so a filter on terms reads few
+        pages of a file. Lengths are in the same files, as rows without a term, so texts are analyzed once.
+        """
         if name in self.names():
             raise ValueError(f"index {name} exists")
-        order = ["field", "term", "doc_id"]
-        index.postings.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{self.path}/{name}/postings")
-        for part in ("docs", "lengths", "values"):
+        if index.rows is not None:
+            every = _exploded(index.rows.withColumn("p", F.concat(F.array(F.lit(None).cast(POSTINGS[len("array<") : -1])), "p")))
+        else:
+            every = index.postings.unionByName(index.lengths, allowMissingColumns=True)
+        every.sortWithinPartitions("term", "field", "doc_id").write.mode("overwrite").parquet(f"{self.path}/{name}/postings")
+        for part in ("docs", "values"):
             getattr(index, part).write.mode("overwrite").parquet(f"{self.path}/{name}/{part}")
         self.spark.createDataFrame([(json.dumps(index.boosts),)], "boosts string").coalesce(1).write.mode("overwrite").text(f"{self.path}/{name}/boosts")
         return self.open(name)
@@ -186,7 +286,11 @@ class IndexStore:
             raise ValueError(f"no index {name}")
         part = lambda x: self.spark.read.parquet(f"{self.path}/{name}/{x}")
         boosts = json.loads(self.spark.read.text(f"{self.path}/{name}/boosts").head()[0])
-        return Index(part("docs"), part("postings"), part("lengths"), part("values"), boosts)
+        every = part("postings")
+        lengths = every.where("term IS NULL").select("field", "doc_id", "len")
+        if (old := self._fs(f"{self.path}/{name}/lengths"))[0].exists(old[1]):  # of indexes that were written with a table of lengths
+            lengths = part("lengths")
+        return Index(part("docs"), every.where("term IS NOT NULL"), lengths, part("values"), boosts)
 
     def drop(self, name: str) -> None:
         if name not in self.names():
@@ -370,8 +474,38 @@ def _scored(index: Index, hits: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.sum(_weighted(index, bm25("tf", "len", "average", "n", "df"))).alias("score"))
 
 
-def _in_field(df: DataFrame, field: str | None) -> DataFrame:
-    return df.where(F.col("field") == field) if field else df
+def _reads(q: object, term: Column) -> Column | None:
+    """Whether a leaf of the tree reads the postings of a term; None if it reads none."""
+    if isinstance(q, Term):
+        fits = term == _query_term(q.text)
+    elif isinstance(q, Prefix):
+        fits = term.startswith(_query_term(q.text))
+    elif isinstance(q, Fuzzy):
+        word = _query_term(q.text)
+        # Lengths that differ by more can't be that close; telling so costs less.
+        fits = F.length(term).between(len(word) - q.distance, len(word) + q.distance) & (F.levenshtein(term, F.lit(word), q.distance) >= 0)
+    elif isinstance(q, Phrase) and (words := {t for t, _ in analyze(q.text)}):
+        fits = term.isin(*words)
+    else:
+        return None
+    return (F.col("field") == q.field) & fits if q.field else fits
+
+
+def _leaves(q: object) -> list[object]:
+    return [x for p in q.parts for x in _leaves(p)] if isinstance(q, Every | Either) else _leaves(q.part) if isinstance(q, Negated) else [q]
+
+
+def narrowed(index: Index, q: object) -> Index:
+    """index for the evaluation of q. If it isn't stored, its texts are analyzed once, here, and what q reads of them is written
+    to a new folder, as an evaluation reads postings and lengths again and again.
+    """
+    read = lambda x: [t for t in (_reads(leaf, x["term"]) for leaf in _leaves(q)) if t is not None]
+    if index.rows is None or not read({"term": F.lit("")}):
+        return index
+    spark, path = index.rows.sparkSession, scratch_dir(index.rows.sparkSession)
+    index.rows.withColumn("p", F.filter("p", lambda x: reduce(lambda a, b: a | b, read(x)))).write.parquet(path)
+    rows = spark.read.schema(index.rows.schema).parquet(path)
+    return replace(index, postings=_exploded(rows), lengths=rows.select("field", "doc_id", "len"), rows=None)
 
 
 def _less(back: Column):
@@ -384,7 +518,7 @@ def _phrase(index: Index, q: Phrase) -> DataFrame:
     if not terms:
         return index.docs.limit(0).withColumn("score", F.lit(0.0))
     first = terms[0][1]
-    rows = _in_field(index.postings, q.field).where(F.col("term").isin(*{t for t, _ in terms}))
+    rows = index.postings.where(_reads(q, F.col("term")))
     per = rows.groupBy("field", "doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"), F.collect_list(F.struct("term", "tf")).alias("tfs"), F.max("len").alias("len"))
     starts = None
     for t, i in terms:
@@ -414,15 +548,8 @@ def evaluate(index: Index, q: object) -> DataFrame:
     """doc_id and score of the documents that match."""
     if isinstance(q, All):
         return index.docs.withColumn("score", F.lit(1.0))
-    if isinstance(q, Term):
-        return _scored(index, _in_field(index.postings, q.field).where(F.col("term") == _query_term(q.text)))
-    if isinstance(q, Prefix):
-        return _scored(index, _in_field(index.postings, q.field).where(F.col("term").startswith(_query_term(q.text))))
-    if isinstance(q, Fuzzy):
-        word = _query_term(q.text)
-        # Lengths that differ by more can't be that close; telling so costs less.
-        close = F.length("term").between(len(word) - q.distance, len(word) + q.distance) & (F.levenshtein("term", F.lit(word), q.distance) >= 0)
-        return _scored(index, _in_field(index.postings, q.field).where(close))
+    if isinstance(q, Term | Prefix | Fuzzy):
+        return _scored(index, index.postings.where(_reads(q, F.col("term"))))
     if isinstance(q, Phrase):
         return _phrase(index, q)
     if isinstance(q, Between):
@@ -458,9 +585,15 @@ def evaluate(index: Index, q: object) -> DataFrame:
     raise TypeError(q)
 
 
+def found(index: Index, text: str) -> DataFrame:
+    """doc_id and score of the documents that match a query string."""
+    q = parse(text)
+    return evaluate(narrowed(index, q), q)
+
+
 def search(index: Index, text: str, limit: int = 10, after: tuple[float, int] | None = None, offset: int = 0) -> DataFrame:
     """The best documents; the smaller id first among equals. after: the (score, doc_id) that ended the page before."""
-    hits = evaluate(index, parse(text))
+    hits = found(index, text)
     if after is not None:
         s, i = after
         hits = hits.where((F.col("score") < s) | ((F.col("score") == s) & (F.col("doc_id") > i)))
@@ -468,7 +601,7 @@ def search(index: Index, text: str, limit: int = 10, after: tuple[float, int] |
 
 
 def totals(index: Index, text: str) -> DataFrame:
-    return evaluate(index, parse(text)).agg(F.count(F.lit(1)).alias("total_hits"), F.max("score").alias("max_score"))
+    return found(index, text).agg(F.count(F.lit(1)).alias("total_hits"), F.max("score").alias("max_score"))
 
 
 def facets(docs: DataFrame, field: str, most: int | None = None) -> DataFrame:
@@ -478,7 +611,7 @@ def facets(docs: DataFrame, field: str, most: int | None = None) -> DataFrame:
 
 
 def faceted(index: Index, docs: DataFrame, text: str, field: str, most: int) -> DataFrame:
-    hits = evaluate(index, parse(text)).select("doc_id")
+    hits = found(index, text).select("doc_id")
     return facets(docs.join(hits, "doc_id", "left_semi"), field, most)
 
 

@@ -111,3 +111,46 @@ def test_stored_indexes(spark, index, tmp_path):
 def test_terms_are_counted_within_the_row(spark):
     df = spark.createDataFrame([(["b", "a", "b"],), ([],)], "t array<string>").select(S.term_counts(F.col("t")).alias("x"))
     assert [[tuple(y) for y in r.x] for r in df.collect()] == [[("a", 1), ("b", 2)], []]
+
+
+def test_analysis_hands_on_bounded_batches():
+    """A worker holds the postings of some texts, not of a batch, and chunks and terms are those of analyze()."""
+    import pyarrow as pa
+
+    texts = [" ".join(f"w{i * 300 + k}x and," for k in range(300)) for i in range(400)] + ["", None, "the", "x ́a ‍b", "a b"]
+    batch = pa.RecordBatch.from_arrays([pa.array(["t"] * len(texts)), pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["field", "doc_id", "text"])
+    sizes, got, lengths = [], {}, {}
+    for out in S.posting_batches([batch]):
+        sizes.append(sum(map(len, out.column("p").to_pylist())))
+        for r in out.to_pylist():
+            got[r["doc_id"]], lengths[r["doc_id"]] = [(p["term"], i) for p in r["p"] for i in p["positions"]], r["len"]
+    assert sum(sizes) >= 120_000 and max(sizes) < S.HELD + 300
+    want = {i: S.analyze(t) for i, t in enumerate(texts) if t}
+    assert {i: sorted(x) for i, x in got.items()} == {i: sorted(x) for i, x in want.items() if x}
+    assert {r["doc_id"]: r["len"] for out in S.length_batches([batch]) for r in out.to_pylist()} == lengths
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+#: Queries whose plan may analyze the texts once at most; they analyzed all texts in every branch, a batch at a time.
+ONCE = "field_lengths".split()
+
+
+@pytest.mark.parametrize("name", ONCE)
+def test_texts_are_analyzed_once_in_small_batches(spark, name):
+    import __spark_entry__
+
+    plan = _plan(__spark_entry__.queries()[name](spark, "/root/testdata/sf0.001"))
+    assert plan.count("ArrowEvalPython") == 0 and plan.count("MapInArrow") <= 1
+
+
+def test_stored_index_is_written_without_a_shuffle(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"w{i % 7} common x{i}") for i in range(200)] + [(900, None), (901, "the")], "doc_id long, body string")
+    kept = S.IndexStore(spark, f"file://{tmp_path}/i").save("i", S.build(docs, ["body"]))
+    assert kept.lengths.count() == 200 and kept.stats().head().tokens == 600
+    assert [r.n for r in kept.postings.groupBy("term").count().where("term = 'common'").select(F.col("count").alias("n")).collect()] == [200]
+    assert not (tmp_path / "i" / "i" / "lengths").exists()
+    again = S.IndexStore(spark, f"file://{tmp_path}/i").save("j", kept)
+    assert ids(again, "w3") == ids(kept, "w3") and again.stats().head() == kept.stats().head()
