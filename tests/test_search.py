@@ -135,7 +135,7 @@ def _plan(df):
 
 
 #: Queries whose plan may analyze the texts once at most; they analyzed all texts in every branch, a batch at a time.
-ONCE = "field_lengths search_term search_and_not search_fuzzy search_not search_or search_page search_totals search_phrase search_stats search_facets".split()
+ONCE = "field_lengths search_term search_and_not search_fuzzy search_not search_or search_page search_totals search_phrase search_stats search_facets search_prefix".split()
 
 
 @pytest.mark.parametrize("name", ONCE)
